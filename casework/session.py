@@ -14,7 +14,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def build_session(app: str = "casework", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library relies on; ``conf`` keys use ``_`` for ``.``."""
+    """A session with the settings the library relies on; ``conf`` adds to them."""
     ship_package()
     builder = (
         SparkSession.builder.appName(app)
@@ -26,7 +26,7 @@ def build_session(app: str = "casework", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
