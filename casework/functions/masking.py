@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import col, count_matches
+from .text import col
 
 # (name, pattern, replacement). They run in this order, on the text left by
 # the one before: an IBAN holds digit runs a phone pattern would take.
 # The patterns avoid look-around so that other SQL engines accept them too.
 MASKS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
+    ("email", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b", "<iban>"),
     ("vat_id", r"\bDE[0-9]{6,12}\b", "<vat_id>"),
     ("phone", r"\+[0-9]{1,3} ?\(?[0-9]{2,5}\)?[ /-]?[0-9]{3,5}(?:[ -]?[0-9]{2,5})?", "<phone>"),
@@ -22,12 +22,3 @@ def mask(text: Column | str, masks=MASKS) -> Column:
     for _, pattern, replacement in masks:
         masked = F.regexp_replace(masked, pattern, replacement)
     return masked
-
-
-def mask_hits(text: Column | str, masks=MASKS) -> dict[str, Column]:
-    """Hits per mask, each counted on the text its mask gets to see."""
-    hits, seen = {}, col(text)
-    for name, pattern, replacement in masks:
-        hits[name] = count_matches(seen, pattern)
-        seen = F.regexp_replace(seen, pattern, replacement)
-    return hits

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import envelope as env
-from ..functions.masking import MASKS, mask, mask_hits
+from ..functions.masking import MASKS
 from ..functions.text import count_matches
 
 # Phrases named as apparent injections by the instruction hierarchy.
@@ -68,7 +68,10 @@ def injection_hits(
         for p in phrases
     ]
     hit = F.filter(F.array(*counts), lambda c: c["n_hits"] > 0)
-    return df.select(*keys, F.explode(hit).alias("hit")).select(*keys, "hit.phrase", "hit.n_hits")
+    # The outer form keeps Spark from testing for an empty list before the
+    # explode, which would count everything twice.
+    exploded = df.select(*keys, F.explode_outer(hit).alias("hit")).where(F.col("hit").isNotNull())
+    return exploded.select(*keys, "hit.phrase", "hit.n_hits")
 
 
 def injection_report(
@@ -83,6 +86,14 @@ def injection_report(
 
 
 def mask_texts(df: DataFrame, text: str, out: str = "masked", masks=MASKS) -> DataFrame:
-    """Add the masked text and a ``n_<mask>`` count for each mask."""
-    hits = {f"n_{name}": hit for name, hit in mask_hits(text, masks).items()}
-    return df.withColumns({**hits, out: mask(text, masks)})
+    """Add the masked text and a ``n_<mask>`` count for each mask.
+
+    Each mask counts and replaces on the text the one before it left, held as
+    a column so that no pattern runs twice over a text.
+    """
+    columns = df.columns
+    df = df.withColumn("_seen", F.col(text))
+    for name, pattern, replacement in masks:
+        df = df.withColumn(f"n_{name}", count_matches("_seen", pattern))
+        df = df.withColumn("_seen", F.regexp_replace("_seen", pattern, replacement))
+    return df.select(*columns, *[f"n_{name}" for name, _, _ in masks], F.col("_seen").alias(out))

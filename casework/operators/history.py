@@ -15,9 +15,9 @@ def change_intervals(
     ``(key, seq)`` is unique. Consecutive observations of one value make one interval.
     """
     ordered = OrderedLog.of(log.select(key, seq, value), key, seq, rows_per_chunk=rows_per_chunk)
-    ordered = ordered.neighbour("_before", F.struct(F.col(value).alias("v")))
-    changed = F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))
-    ordered = ordered.with_df(ordered.df.where(changed)).neighbour("valid_to", F.col(seq), ahead=True)
+    ordered = ordered.neighbour({"_seq": seq, "_before": value})
+    changed = F.col("_seq").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))
+    ordered = ordered.with_df(ordered.df.where(changed)).neighbour({"valid_to": seq}, ahead=True)
     return ordered.result.select(key, F.col(seq).alias("valid_from"), "valid_to", value)
 
 

@@ -39,17 +39,28 @@ def steps_per_worker(steps: DataFrame, case: str = "case_id") -> DataFrame:
 
 
 def revision_delta(
-    ledgers: DataFrame, case: str = "case_id", revision: str = "revision", rows_per_chunk: int = ROWS_PER_CHUNK
+    ledgers: DataFrame,
+    case: str = "case_id",
+    revision: str = "revision",
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    counts_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Per revision after the first: facts learned and dropped, plan steps repeated verbatim."""
-    log = OrderedLog.of(ledgers.select(case, revision, "facts", "plan"), case, revision, rows_per_chunk=rows_per_chunk)
-    df = log.neighbour("_before", F.struct("facts", "plan")).result.where(F.col("_before").isNotNull())
+    """Per revision after the first: facts learned and dropped, plan steps repeated verbatim.
+
+    ``counts_from``: see ``OrderedLog.of``; use it when ``ledgers`` is costly to read.
+    """
+    log = OrderedLog.of(
+        ledgers.select(case, revision, "facts", "plan"), case, revision,
+        rows_per_chunk=rows_per_chunk, counts_from=counts_from,
+    )
+    before = log.neighbour({"_facts": "facts", "_plan": "plan", "_revision": revision})
+    df = before.result.where(F.col("_revision").isNotNull())
     return df.select(
         case,
         revision,
-        F.array_except("facts", "_before.facts").alias("learned"),
-        F.array_except("_before.facts", "facts").alias("dropped"),
-        F.array_intersect("plan", "_before.plan").alias("repeated_steps"),
+        F.array_except("facts", "_facts").alias("learned"),
+        F.array_except("_facts", "facts").alias("dropped"),
+        F.array_intersect("plan", "_plan").alias("repeated_steps"),
     )
 
 

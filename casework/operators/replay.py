@@ -67,6 +67,7 @@ def replay_trace(
     case: str = "case_id",
     seq: str = "seq",
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Route and counters of every step: ``case, seq, route, stall_count, replan_count``.
 
@@ -74,10 +75,12 @@ def replay_trace(
     ``is_progress_being_made``) and ``known_speaker``. Routes: ``dispatch``,
     ``replan``, ``finalize:satisfied``, ``finalize:budget``, and
     ``after_terminal`` for steps logged after a case ended. Counters are those
-    after the step, null after the end.
+    after the step, null after the end. ``counts_from``: see ``OrderedLog.of``.
     """
     flags = ["is_request_satisfied", "is_in_loop", "is_progress_being_made", "known_speaker"]
-    log = OrderedLog.of(steps.select(case, seq, *flags), case, seq, rows_per_chunk=rows_per_chunk)
+    log = OrderedLog.of(
+        steps.select(case, seq, *flags), case, seq, rows_per_chunk=rows_per_chunk, counts_from=counts_from
+    )
     limit = max(max_stalls, 1)
     order = log.window()
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -201,8 +204,10 @@ def repeated_steps(
 ) -> DataFrame:
     """Flag steps that repeat the one before in every column of ``same``; nulls are equal."""
     log = OrderedLog.of(steps.select(case, seq, *same), case, seq, rows_per_chunk=rows_per_chunk)
-    log = log.neighbour("_before", F.struct(*same))
-    repeated = F.col("_before").isNotNull() & F.col("_before").eqNullSafe(F.struct(*same))
+    log = log.neighbour({"_seq": seq, **{f"_before_{c}": c for c in same}})
+    repeated = F.col("_seq").isNotNull()
+    for c in same:
+        repeated = repeated & F.col(c).eqNullSafe(F.col(f"_before_{c}"))
     return log.result.select(case, seq, *same, repeated.alias("repeats_previous"))
 
 

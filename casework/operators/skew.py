@@ -6,7 +6,7 @@ salted, every other key takes the plain plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -81,18 +81,20 @@ def lookup(
     salts, any_hot = _listed(salts.na.drop(subset=keys))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns])
     no_key = any_of([F.col(k).isNull() for k in keys])
+    salt = F.when(no_key, F.pmod(row_hash, F.lit(1 << 20)))
     if any_hot:
         facts = facts.join(salts, keys, "left")
         dim = dim.join(salts, keys, "left")
         n = F.coalesce(F.col("_salts"), F.lit(1))
         dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+        salt = salt.when(F.col("_salts") > 1, F.pmod(row_hash, n))
     else:
-        n = F.lit(1)
-        dim = dim.withColumn("_salt", F.lit(0))
-    salt = F.when(no_key, F.pmod(row_hash, F.lit(1 << 20))).otherwise(F.pmod(row_hash, n))
-    return (
-        facts.withColumn("_salt", salt.cast("int")).drop("_salts").join(dim, [*keys, "_salt"], how).drop("_salt")
-    )
+        # A literal would be folded out of the join keys, and null keys would
+        # then meet in one task again.
+        dim = dim.withColumn("_salt", F.explode(F.array(F.lit(0))))
+    salted = facts.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int")).drop("_salts")
+    # Measured as too large: keep Spark from broadcasting it on an estimate.
+    return salted.join(dim.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 @dataclass(frozen=True)
@@ -119,18 +121,21 @@ class OrderedLog:
         seq: str,
         ties: Sequence[str] = (),
         rows_per_chunk: int = ROWS_PER_CHUNK,
+        counts_from: DataFrame | None = None,
     ) -> OrderedLog:
         """Find hot keys and cut them.
 
-        The first look reads ``key`` and ``seq`` only. The cut uses counts and
-        bounds alone, so it is the same on every retry. A chunk still too
-        large, from an uneven ``seq``, is cut again.
+        The look at the data reads ``key`` and ``seq`` only; ``counts_from``
+        names a cheaper table with the same or more rows to take it from. The
+        cut uses counts and bounds alone, so it is the same on every retry. A
+        chunk still too large, from an uneven ``seq``, is cut again.
         """
+        counted = (df if counts_from is None else counts_from).select(key, seq)
         chunks: list[str] = []
         for level in range(CUT_ROUNDS):
             by = [key, *chunks]
             stats = (
-                df.where(F.col(key).isNotNull())
+                counted.where(F.col(key).isNotNull())
                 .groupBy(*by)
                 .agg(
                     F.count(F.lit(1)).alias("_n"),
@@ -145,11 +150,9 @@ class OrderedLog:
             if not any_hot:
                 break
             name = f"_chunk{level}"
-            position = F.expr(f"(cast(`{seq}` as bigint) - _lo) div _width")
-            df = (
-                df.join(hot, by, "left")
-                .withColumn(name, F.coalesce(position, F.lit(0)))
-                .drop("_lo", "_width")
+            position = F.coalesce(F.expr(f"(cast(`{seq}` as bigint) - _lo) div _width"), F.lit(0))
+            counted, df = (
+                rows.join(hot, by, "left").withColumn(name, position).drop("_lo", "_width") for rows in (counted, df)
             )
             chunks.append(name)
         return cls(df, key, seq, tuple(chunks), tuple(ties))
@@ -209,18 +212,23 @@ class OrderedLog:
         """Also the last value of a struct led by the order, since max skips nulls."""
         return self._scan(name, F.max, F.greatest, value, inclusive)
 
-    def neighbour(self, name: str, value: Column, ahead: bool = False) -> OrderedLog:
-        """The value of the row just before (or just after) in the same key."""
+    def neighbour(self, columns: Mapping[str, str], ahead: bool = False) -> OrderedLog:
+        """Add columns of the row just before (or just after) in the same key.
+
+        ``columns`` maps new names to columns of the log. They are taken one by
+        one, as a struct of them would go through the shuffle beside them.
+        """
         window = self.window()
+        pick = F.lead if ahead else F.lag
+        inside = self.df.withColumns({name: pick(c).over(window) for name, c in columns.items()})
         if not self.chunks:
-            pick = F.lead(value) if ahead else F.lag(value)
-            return self.with_df(self.df.withColumn(name, pick.over(window)))
-        entry = F.struct(*[F.col(c) for c in (self.seq, *self.ties)], value.alias("_v"))
-        # Inside a chunk a plain lag is enough; only its first row needs the
-        # nearest row of the chunks before it.
-        inside = self.df.withColumn("_hit", (F.lead(entry) if ahead else F.lag(entry)).over(window))
-        edge = F.min(entry) if ahead else F.max(entry)
-        nearest = F.min if ahead else F.max
+            return self.with_df(inside)
+        # Inside a chunk that is all; its first row needs the nearest row of
+        # the chunks before it.
+        inside = inside.withColumn("_found", pick(self.seq).over(window).isNotNull())
+        order = [F.col(c) for c in (self.seq, *self.ties)]
+        entry = F.struct(*order, *[F.col(c).alias(name) for name, c in columns.items()])
+        edge, nearest = (F.min(entry), F.min) if ahead else (F.max(entry), F.max)
         carry = (
             self.df.groupBy(*self.group)
             .agg(edge.alias("_edge"))
@@ -228,6 +236,5 @@ class OrderedLog:
             .drop("_edge")
         )
         joined = inside.join(carry, self.group, "left")
-        return self.with_df(
-            joined.withColumn(name, F.coalesce(F.col("_hit"), F.col("_carry"))["_v"]).drop("_hit", "_carry")
-        )
+        merged = {n: F.when(F.col("_found"), F.col(n)).otherwise(F.col("_carry")[n]) for n in columns}
+        return self.with_df(joined.withColumns(merged).drop("_found", "_carry"))

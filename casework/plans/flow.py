@@ -86,8 +86,12 @@ class CaseFlow:
 
 
 def output_rows(results: DataFrame, case: str = "case_id") -> DataFrame:
-    """The outputs of a flow as a long table: ``case, step, name, summary, data``."""
-    return results.select(case, F.posexplode("outputs").alias("step", "_o")).select(
+    """The outputs of a flow as a long table: ``case, step, name, summary, data``.
+
+    A flow has at least one stage, so the outer explode adds no rows; it keeps
+    Spark from building all texts once more just to test for an empty list.
+    """
+    return results.select(case, F.posexplode_outer("outputs").alias("step", "_o")).select(
         case, F.col("step").cast("bigint").alias("step"), "_o.name", "_o.summary", "_o.data"
     )
 
@@ -128,7 +132,8 @@ def prior_contexts(outputs: DataFrame, n_steps: int, case: str = "case_id", sour
             for k in range(n_steps)
         ]
     )
-    return df.select(case, F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    exploded = df.select(case, F.explode_outer(rows).alias("_r")).where(F.col("_r").isNotNull())
+    return exploded.select(case, "_r.step", "_r.name", "_r.prior")
 
 
 def final_summaries(cases: DataFrame, outputs: DataFrame, case: str = "case_id") -> DataFrame:

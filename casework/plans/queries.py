@@ -215,7 +215,8 @@ def plan_workers(t: Caseload) -> DataFrame:
 
 
 def _delta(t: Caseload, **bounds) -> DataFrame:
-    delta = ledgers.revision_delta(_ledgers(t), **bounds)
+    replies = t.ledger_replies().select("case_id", F.col("seq").alias("revision"))
+    delta = ledgers.revision_delta(_ledgers(t), counts_from=replies, **bounds)
     return delta.select(
         "case_id", "revision", *[F.array_join(c, "|").alias(c) for c in ("learned", "dropped", "repeated_steps")]
     )
@@ -244,20 +245,24 @@ def _known_steps(t: Caseload) -> DataFrame:
     return registry.with_known_worker(t.steps(), registry.registry_view(t.worker_log()))
 
 
+def _trace(t: Caseload, steps: DataFrame, **bounds) -> DataFrame:
+    return replay.replay_trace(steps, counts_from=t.steps(), **bounds)
+
+
 @query
 def replay_trace(t: Caseload) -> DataFrame:
-    return replay.replay_trace(_known_steps(t))
+    return _trace(t, _known_steps(t))
 
 
 @query
 def replay_trace_chunked(t: Caseload) -> DataFrame:
     """The same trace with every case treated as hot."""
-    return replay.replay_trace(_known_steps(t), rows_per_chunk=16)
+    return _trace(t, _known_steps(t), rows_per_chunk=16)
 
 
 @query
 def replay_summary(t: Caseload) -> DataFrame:
-    return replay.replay_summary(replay.replay_trace(_known_steps(t)))
+    return replay.replay_summary(_trace(t, _known_steps(t)))
 
 
 def _synthesis(t: Caseload, summary: DataFrame, steps: DataFrame) -> DataFrame:
@@ -272,7 +277,7 @@ def _synthesis(t: Caseload, summary: DataFrame, steps: DataFrame) -> DataFrame:
 @query
 def run_summary(t: Caseload) -> DataFrame:
     steps = _known_steps(t)
-    trace = replay.replay_trace(steps)
+    trace = _trace(t, steps)
     summary = replay.replay_summary(trace)
     answers = scoring.final_answers(_synthesis(t, summary, steps), stub_model)
     routed = trace.join(steps.select("case_id", "seq", "instruction"), ["case_id", "seq"])

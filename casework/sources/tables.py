@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+SMALL_INPUT_SPLITS = 64
+
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
     """``folder/name.fmt``. Formats that would infer a schema by reading the data need one."""
@@ -16,6 +18,18 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     return reader.load(f"{folder}/{name}.{fmt}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input one partition per core before costly per-row work.
+
+    A small table is often one file with one row group, which only one task
+    can read. An input of more than ``SMALL_INPUT_SPLITS`` splits is left
+    alone, so this never shuffles a large table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SMALL_INPUT_SPLITS) else df
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
