@@ -33,14 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
 def stream_table(
     spark: SparkSession, folder: str, name: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The files ``name.fmt`` (or ``name-*.fmt``) of a folder as a stream.
+    """``folder/name.fmt``, a file or a folder that files arrive in, as a stream.
 
     ``files_per_trigger`` bounds what one micro-batch holds.
     """
-    reader = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", f"{name}*.{fmt}")
+    reader = spark.readStream.format(fmt).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder)
+    # As a pattern the path may name a single file, which a stream refuses otherwise.
+    return reader.load(f"{folder}/{name}[.]{fmt}")
 
 
 def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:

@@ -1,0 +1,32 @@
+"""Every registered query against its SQL twin, over whole tables."""
+
+import pytest
+
+import __spark_entry__ as contract
+
+from .compare import connect, spark_rows, sql_rows, sql_types
+from .conftest import DATA
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(DATA)
+
+
+def test_every_query_has_a_twin():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(contract.queries()))
+def test_query_equals_its_twin(spark, db, name):
+    df, sql = contract.queries()[name](spark, DATA), contract.oracle_sql()[name]
+    assert dict(df.dtypes) == sql_types(db, sql)
+    names, got = spark_rows(df)
+    sql_names, expected = sql_rows(db, sql)
+    assert names == sql_names
+    assert got == expected and sum(got.values()) > 0
+
+
+def test_entry_has_rows(spark):
+    df = contract.entry(spark)
+    assert df.columns == ["case_id", "composed_task"] and df.count() > 0

@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from casework.operators import evals, extraction, reconcile
+
+
+def lines(spark, *rows):
+    return spark.createDataFrame(rows, "po_number long, cents long, quantity long")
+
+
+def test_orders_against_invoices(spark):
+    po = lines(spark, (1, 100, 1), (1, 200, 1), (2, 500, 1), (3, 10, 1))
+    invoice = lines(spark, (1, 300, 2), (2, 501, 1), (4, 7, 1))
+    got = {r.po_number: (r.status, r.difference_cents) for r in reconcile.reconcile_orders(po, invoice).collect()}
+    assert got == {1: ("matched", 0), 2: ("amount_mismatch", 1), 3: ("missing_invoice", None), 4: ("missing_po", None)}
+    lenient = {r.po_number: r.status for r in reconcile.reconcile_orders(po, invoice, tolerance_cents=1).collect()}
+    assert lenient[2] == "matched"
+    totals = {r.status: tuple(r)[1:] for r in reconcile.status_totals(reconcile.reconcile_orders(po, invoice), "po_cents", "invoice_cents").collect()}
+    assert totals == {"matched": (1, 300, 300), "amount_mismatch": (1, 500, 501), "missing_invoice": (1, 10, None), "missing_po": (1, None, 7)}
+
+
+def test_deliveries_against_invoices(spark):
+    delivered = lines(spark, (1, 0, 5), (2, 0, 3), (3, 0, 9), (4, 0, 1))
+    invoiced = lines(spark, (1, 0, 2), (1, 0, 3), (2, 0, 4), (3, 0, 8), (5, 0, 6))
+    got = {r.po_number: (r.status, r.shortfall) for r in reconcile.reconcile_deliveries(delivered, invoiced).collect()}
+    assert got == {
+        1: ("matched", 0), 2: ("short_delivery", 1), 3: ("over_delivery", 0), 4: ("missing_invoice", 0), 5: ("missing_delivery", 6),
+    }
+
+
+def test_cents_round_half_up(spark):
+    df = spark.createDataFrame([(1.005,), (0.125,), (2.0,)], "a double")
+    assert [r[0] for r in df.select(reconcile.cents("a")).collect()] == [100, 13, 200]
+
+
+def test_dunning_levels_and_escalation(spark):
+    rows = [("2024-12-31", 0), ("2025-01-01", 0), ("2025-01-31", 1), ("2025-02-28", 1), ("2025-04-01", None)]
+    items = spark.createDataFrame(rows, "d string, current_level int").withColumn("due_on", F.col("d").cast("date"))
+    aged = reconcile.age_open_items(items, F.lit("2025-03-01").cast("date"), [(2, 29), (1, 1), (3, 60)])
+    got = [(r.days_overdue, r.dunning_level, r.escalate) for r in aged.orderBy("d").collect()]
+    assert got == [(60, 3, True), (59, 2, True), (29, 2, True), (1, 1, False), (0, 0, False)]
+
+
+def test_bookings_default_chart_and_codes_outside_it(spark):
+    chart = spark.createDataFrame([("SKR03", 4400, "8400"), ("SKR04", 3100, "4400")], "chart string, account int, booking_code string")
+    rows = [(1, 4400, None), (2, 4400, "SKR04"), (3, 3100, "SKR04"), (4, 3100, ""), (5, 3100, None)]
+    postings = spark.createDataFrame(rows, "id long, account int, chart string")
+    got = {r.id: (r.chart, r.booking_code, r.in_chart) for r in reconcile.map_bookings(postings, chart).collect()}
+    assert got == {
+        1: ("SKR03", "8400", True), 2: ("SKR04", None, False), 3: ("SKR04", "4400", True), 4: ("SKR03", None, False), 5: ("SKR03", None, False),
+    }
+    outside = {(r.chart, r.account): r.n_postings for r in reconcile.bookings_outside_chart(postings, chart).collect()}
+    assert outside == {("SKR04", 4400): 1, ("SKR03", 3100): 2}
+
+
+def test_approval_split(spark):
+    df = spark.createDataFrame([(1, 1_000_000), (2, 1_000_001), (3, None)], "id long, cents long")
+    assert [r.id for r in reconcile.approval_queue(df, "cents").collect()] == [2]
+    assert [r.id for r in reconcile.straight_through(df, "cents").collect()] == [1]
+
+
+def test_header_fields(spark):
+    text = "Rechnung 2025-04-1187 vom 11.04.2025, Lieferant: Muster GmbH; Betrag: EUR 4.318,00 USt-IdNr. DE842791"
+    rows = {r.t: r for r in extraction.extract_fields(spark.createDataFrame([(text,), ("garbled",)], "t string"), "t").collect()}
+    full = rows[text]
+    assert (full.invoice_number, full.invoice_date, full.total, full.tax_id) == ("2025-04-1187", "11.04.2025", "4.318,00", "DE842791")
+    assert full.supplier == "Muster GmbH" and full.low_confidence == []
+    assert rows["garbled"].low_confidence == list(extraction.HEADER_FIELDS)
+
+
+def test_field_accuracy_with_subtotals(spark):
+    schema = "id long, wf string, a string, b string"
+    predicted = spark.createDataFrame([(1, "ap", "x", None), (2, "ap", "y", "z"), (3, "so", "x", "x")], schema)
+    gold = spark.createDataFrame([(1, "x", None), (2, "n", "z"), (3, "x", "y"), (9, "x", "x")], "id long, a string, b string")
+    got = {(r.workflow, r.field): (r.n_values, r.n_correct) for r in evals.field_accuracy(predicted, gold, "id", "wf", ["a", "b"]).collect()}
+    assert got == {
+        ("ap", "a"): (2, 1), ("ap", "b"): (2, 2), ("so", "a"): (1, 1), ("so", "b"): (1, 0),
+        ("ap", None): (4, 3), ("so", None): (2, 1), (None, None): (6, 4),
+    }
+
+
+def test_workflow_rates(spark):
+    rows = [("ap", True, False, 10), ("ap", True, True, 20), ("ap", False, False, 0), ("so", True, True, 5)]
+    df = spark.createDataFrame(rows, "wf string, escalated boolean, was_exception boolean, cost_cents long")
+    got = {r.wf: r for r in evals.workflow_rates(df, ["wf"]).collect()}
+    assert got["ap"].escalation_rate == pytest.approx(2 / 3) and got["ap"].straight_through_rate == pytest.approx(1 / 3)
+    assert got["ap"].false_positive_rate == 0.5 and got["ap"].cents_per_case == 10
+    assert got["so"].false_positive_rate is None
