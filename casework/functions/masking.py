@@ -1,11 +1,5 @@
 """Masks for personal and payment data in text that is stored with traces."""
 
-from __future__ import annotations
-
-from pyspark.sql import Column, functions as F
-
-from .text import col
-
 # (name, pattern, replacement). They run in this order, on the text left by
 # the one before: an IBAN holds digit runs a phone pattern would take.
 # The patterns avoid look-around so that other SQL engines accept them too.
@@ -15,10 +9,3 @@ MASKS = (
     ("vat_id", r"\bDE[0-9]{6,12}\b", "<vat_id>"),
     ("phone", r"\+[0-9]{1,3} ?\(?[0-9]{2,5}\)?[ /-]?[0-9]{3,5}(?:[ -]?[0-9]{2,5})?", "<phone>"),
 )
-
-
-def mask(text: Column | str, masks=MASKS) -> Column:
-    masked = col(text)
-    for _, pattern, replacement in masks:
-        masked = F.regexp_replace(masked, pattern, replacement)
-    return masked

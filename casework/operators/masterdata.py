@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.envelope import wrap
 from ..functions.text import any_of, first_match, text_or_empty
-from .skew import BROADCAST_ROWS, ROWS_PER_CHUNK, lookup
+from .skew import BROADCAST_ROWS, lookup
 
 # Fixed value: a German VAT id as it appears in free text.
 VAT_ID = r"(?U)\b(DE\d{6,12})\b"
@@ -56,12 +56,13 @@ def enrich_vendors(
     vendors: DataFrame,
     task: str = "task",
     broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_CHUNK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add ``vendor_id``, ``found``, ``vendor`` and ``summary`` to each case.
 
     The first VAT id of the task is looked up in ``vendors`` (one row per
     ``vendor_id``). Many cases may name one vendor, or none: see ``lookup``.
+    Salting is off by default because counting ids reads all texts once more.
     """
     named = cases.withColumn("vendor_id", first_match(task, VAT_ID))
     joined = lookup(named, vendor_records(vendors), "vendor_id", "left", broadcast_rows, rows_per_task)

@@ -72,7 +72,7 @@ def worker_requests(
     speaker: str = "next_speaker",
     instruction: str = "instruction",
     broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_CHUNK,
+    rows_per_task: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add ``model_id`` and ``messages`` to dispatches of registered workers.
 

@@ -109,7 +109,7 @@ def age_open_items(
 
 def map_bookings(
     postings: DataFrame, chart: DataFrame, default_chart: str = DEFAULT_CHART,
-    broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int = ROWS_PER_CHUNK,
+    broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add ``chart``, ``booking_code`` and ``in_chart`` to postings.
 

@@ -45,7 +45,7 @@ def manifest_text(registry: DataFrame) -> Column:
 
 def with_known_worker(
     df: DataFrame, registry: DataFrame, speaker: str = "next_speaker", out: str = "known_speaker",
-    broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int = ROWS_PER_CHUNK,
+    broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Flag rows whose speaker is non-empty and registered."""
     names = registry.select(F.col("name").alias(speaker), F.lit(True).alias("_known")).distinct()
@@ -73,7 +73,7 @@ def unknown_worker_report(df: DataFrame, registry: DataFrame, speaker: str = "ne
 
 def assign_models(
     df: DataFrame, routing: DataFrame, default_model: str, role: str = "role",
-    broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int = ROWS_PER_CHUNK,
+    broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add ``model_id``: the one routed to the role, else the default."""
     routes = routing.select(F.col("role").alias(role), F.col("model_id").alias("_model"))

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import any_of
 
-# Up to this many hot keys are held on the driver and broadcast (16 B to a few
-# hundred bytes each); beyond it the same table is joined by shuffle.
-MAX_LISTED_KEYS = 20_000
+# Up to this many hot keys are held on the driver and broadcast (a few dozen
+# bytes each); beyond it the same table is joined by shuffle.
+MAX_LISTED_KEYS = 100_000
 ROWS_PER_CHUNK = 5_000_000
 MAX_CHUNKS = 4_096
 CUT_ROUNDS = 3
@@ -37,11 +37,6 @@ def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return n <= rows and n_bytes <= size
 
 
-def broadcast_if_small(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only for a measured small table; else leave the choice to AQE."""
-    return F.broadcast(dim) if fits_broadcast(dim, rows, size) else dim
-
-
 def _listed(stats: DataFrame) -> tuple[DataFrame, bool]:
     """A small aggregated table as a local one; the flag says whether it has rows."""
     rows = stats.limit(MAX_LISTED_KEYS + 1).collect()
@@ -58,14 +53,17 @@ def lookup(
     on: str | Sequence[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_CHUNK,
+    rows_per_task: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Join ``facts`` to ``dim`` on ``on``; ``how`` is left, inner, left_semi or left_anti.
 
-    A small ``dim`` is broadcast, so ``facts`` is not shuffled. A larger one
-    is joined by shuffle, with the rows of hot keys spread over as many salts
-    as their count asks for and ``dim`` repeated for just those keys. Null
-    keys never match and are spread by row hash.
+    ``dim`` is unique on ``on``. A small one is broadcast, so ``facts`` is not
+    shuffled. A larger one is joined by shuffle, hashed on the side of ``dim``
+    so that ``facts`` need no sort. Rows of a hot key are then spread over as
+    many salts as their count asks for, with ``dim`` repeated for just those
+    keys; ``rows_per_task=None`` saves the counting pass and leaves hot keys
+    to the skew handling of adaptive execution. Null keys never match and are
+    always spread by row hash.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dim, rows=broadcast_rows):
@@ -74,27 +72,25 @@ def lookup(
         # Keys cannot be counted ahead of a stream; a micro-batch is bounded.
         return facts.join(dim, keys, how)
 
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    salts = counts.where(F.col("_n") > rows_per_task).select(
-        *keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
-    )
-    salts, any_hot = _listed(salts.na.drop(subset=keys))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns])
-    no_key = any_of([F.col(k).isNull() for k in keys])
-    salt = F.when(no_key, F.pmod(row_hash, F.lit(1 << 20)))
+    salt = F.when(any_of([F.col(k).isNull() for k in keys]), F.pmod(row_hash, F.lit(1 << 20)))
+    salts, any_hot = None, False
+    if rows_per_task is not None:
+        counts = facts.na.drop(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        n_salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
+        salts, any_hot = _listed(counts.where(F.col("_n") > rows_per_task).select(*keys, n_salts))
     if any_hot:
-        facts = facts.join(salts, keys, "left")
-        dim = dim.join(salts, keys, "left")
-        n = F.coalesce(F.col("_salts"), F.lit(1))
-        dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
-        salt = salt.when(F.col("_salts") > 1, F.pmod(row_hash, n))
+        facts, dim = facts.join(salts, keys, "left"), dim.join(salts, keys, "left")
+        salt = salt.when(F.col("_salts") > 1, F.pmod(row_hash, F.col("_salts")))
+        copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+        dim = dim.withColumn("_salt", F.explode(copies)).drop("_salts")
     else:
         # A literal would be folded out of the join keys, and null keys would
         # then meet in one task again.
         dim = dim.withColumn("_salt", F.explode(F.array(F.lit(0))))
     salted = facts.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int")).drop("_salts")
     # Measured as too large: keep Spark from broadcasting it on an estimate.
-    return salted.join(dim.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    return salted.join(dim.hint("shuffle_hash"), [*keys, "_salt"], how).drop("_salt")
 
 
 @dataclass(frozen=True)

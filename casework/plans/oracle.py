@@ -11,7 +11,14 @@ from ..functions.replies import FALSE_WORDS, TRUE_WORDS
 from ..operators.envelopes import INJECTION_PHRASES
 from ..operators.extraction import HEADER_FIELDS
 from ..operators.masterdata import NO_ID
-from ..operators.prompts import FINAL_TEMPLATE, PROGRESS_TEMPLATE, WORKER_HEADER
+from ..operators.prompts import (
+    FINAL_TEMPLATE,
+    PROGRESS_TEMPLATE,
+    REPLAN_TEMPLATE,
+    START_TEMPLATE,
+    SUPERVISOR_HEADER,
+    WORKER_HEADER,
+)
 from ..sources.caseload import CHANNELS, CLAIM, DEFAULT_MODEL, DESKS, DUNNING_LEVELS, FORGERY, ROUTES
 from .flow import PRIOR_HEADER
 
@@ -408,6 +415,9 @@ ORACLES: dict[str, str] = {
         SELECT case_id, 0::BIGINT AS step, 'stammdaten' AS name, '' AS prior FROM flow
         UNION ALL SELECT case_id, 1, 'fields', p1 FROM flow
         UNION ALL SELECT case_id, 2, 'review', p2 FROM flow""",
+    "output_log": f"""WITH {CASES}, {VENDORS}, {ENRICHED}
+        SELECT case_id, 0::BIGINT AS step, 'stammdaten' AS name, summary FROM enriched
+        UNION ALL SELECT case_id, 1, 'review', 'Reviewed ' || length(task) || ' characters' FROM cases WHERE lang = 'en'""",
     "composed_task": f"""WITH {CASES}, {VENDORS}, {ENRICHED}, {FLOW}
         SELECT case_id, {with_prior('p1')} AS composed_task FROM flow""",
     "final_summary": f"""WITH {CASES}, {VENDORS}, {ENRICHED}, {FLOW}
@@ -506,6 +516,22 @@ ORACLES: dict[str, str] = {
             'plan': "coalesce(array_to_string(latest.plan, chr(10)), '(none)')",
             'transcript': "coalesce(told.transcript, '(empty)')"})} AS prompt
         FROM cases c LEFT JOIN latest ON latest.case_id = c.case_id LEFT JOIN told ON told.case_id = c.case_id, shown""",
+    "start_prompts": f"""WITH {CASES},
+        shown AS (
+          SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY position) AS manifest
+          FROM (SELECT p_brand AS name, min(p_partkey) AS position, arg_max(p_name, p_partkey) AS description FROM part GROUP BY p_brand))
+        SELECT case_id, {text(DEFAULT_MODEL)} AS model_id, {text(SUPERVISOR_HEADER)} AS system,
+               {filled(START_TEMPLATE, {'task': 'task', 'worker_manifest': 'manifest'})} AS "user" FROM cases, shown""",
+    "replan_prompts": f"""WITH {TRANSCRIPT}, {LINES}, {LEDGERS}, {WORKERS},
+        latest AS (SELECT * FROM ledgers QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY revision DESC) = 1),
+        told AS (SELECT case_id, string_agg(line, chr(10) ORDER BY seq) AS transcript FROM lines GROUP BY case_id),
+        shown AS (SELECT string_agg('- ' || name || ': ' || description, chr(10) ORDER BY position) AS manifest FROM workers)
+        SELECT c_custkey AS case_id, coalesce(latest.revision, 0) + 1 AS next_revision, {filled(REPLAN_TEMPLATE, {
+            'task': 'c_name', 'worker_manifest': 'shown.manifest',
+            'current_facts': "coalesce(array_to_string(latest.facts, chr(10)), '(none)')",
+            'current_plan': "coalesce(array_to_string(latest.plan, chr(10)), '(none)')",
+            'transcript': "coalesce(told.transcript, '(empty)')"})} AS prompt
+        FROM customer LEFT JOIN latest ON latest.case_id = c_custkey LEFT JOIN told ON told.case_id = c_custkey, shown""",
     "final_answers": f"""WITH {ANSWERS}, asked AS (
           SELECT *, {filled(FINAL_TEMPLATE, {'task': 'final_answer', 'transcript': "'(empty)'"})} AS prompt FROM answers)
         SELECT case_id,

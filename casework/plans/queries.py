@@ -14,7 +14,7 @@ from ..sources.caseload import DEFAULT_MODEL, DUNNING_LEVELS, Caseload
 from ..sources.tables import stream_table
 from ..streaming import steps as live
 from ..streaming.run import drain, use_rocksdb
-from .flow import CaseFlow, Stage, compose_task, final_summaries, output_rows, prior_contexts
+from .flow import CaseFlow, Stage, append_outputs, compose_task, final_summaries, output_rows, prior_contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,6 +121,15 @@ def prior_context(t: Caseload) -> DataFrame:
     return prior_contexts(output_rows(_flow(t).run(t.cases())), n_steps=3)
 
 
+@query
+def output_log(t: Caseload) -> DataFrame:
+    """Outputs of two flows in one long table: all cases are looked up, only some reviewed."""
+    looked_up = output_rows(CaseFlow([_lookup_stage(t)]).run(t.cases()))
+    reviewed = output_rows(CaseFlow([Stage("review", _review_stage)]).run(t.cases().where(F.col("lang") == "en")))
+    later = reviewed.withColumn("step", F.col("step") + 1)
+    return append_outputs(looked_up, later).select("case_id", "step", "name", "summary")
+
+
 @query
 def composed_task(t: Caseload) -> DataFrame:
     """Lookup, then the task a following stage would get."""
@@ -374,6 +383,37 @@ def render_prompts(t: Caseload) -> DataFrame:
     return joined.select("case_id", prompts.render(prompts.PROGRESS_TEMPLATE, values).alias("prompt"))
 
 
+@query
+def start_prompts(t: Caseload) -> DataFrame:
+    """The request that opens every case, with the manifest of a long registration log."""
+    values = {
+        "task": F.col("task"),
+        "worker_manifest": registry.manifest_text(registry.registry_view(t.catalogue_log())),
+    }
+    asked = prompts.supervisor_requests(t.cases(), prompts.render(prompts.START_TEMPLATE, values), DEFAULT_MODEL)
+    return asked.select(
+        "case_id", "model_id",
+        F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"),
+    )
+
+
+@query
+def replan_prompts(t: Caseload) -> DataFrame:
+    """The prompt that asks for a new plan, for every customer's case."""
+    cases = t.table("customer").select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("task"))
+    inputs = ledgers.replan_inputs(cases, _ledgers(t))
+    texts = tr.assemble_transcripts(t.transcript(), cases=cases).select("case_id", "transcript")
+    values = {
+        "task": F.col("task"),
+        "worker_manifest": registry.manifest_text(registry.registry_view(t.worker_log())),
+        "current_facts": F.col("current_facts"),
+        "current_plan": F.col("current_plan"),
+        "transcript": F.col("transcript"),
+    }
+    joined = cases.join(inputs, "case_id").join(texts, "case_id")
+    return joined.select("case_id", "next_revision", prompts.render(prompts.REPLAN_TEMPLATE, values).alias("prompt"))
+
+
 @query
 def batch_score(t: Caseload) -> DataFrame:
     scored = scoring.score(_requests(t), stub_model)

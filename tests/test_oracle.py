@@ -8,6 +8,9 @@ from .compare import connect, spark_rows, sql_rows, sql_types
 from .conftest import DATA
 
 
+CALLS_MODELS = {"batch_score", "final_answers", "run_summary"}
+
+
 @pytest.fixture(scope="module")
 def db():
     return connect(DATA)
@@ -25,6 +28,10 @@ def test_query_equals_its_twin(spark, db, name):
     sql_names, expected = sql_rows(db, sql)
     assert names == sql_names
     assert got == expected and sum(got.values()) > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert ("MapInPandas" in plan) == (name in CALLS_MODELS)
 
 
 def test_entry_has_rows(spark):

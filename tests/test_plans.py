@@ -17,18 +17,6 @@ def plan(df, final=False):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-PYTHON = {"batch_score", "final_answers", "run_summary"}
-STREAMS = {n for n in QUERIES if n.startswith("stream_")}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
-def test_no_cross_join_and_python_only_for_models(spark, name):
-    text = plan(QUERIES[name](spark, DATA))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert ("MapInPandas" in text) == (name in PYTHON)
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-
-
 @pytest.mark.parametrize(
     ("name", "columns"),
     [
