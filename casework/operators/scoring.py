@@ -81,7 +81,8 @@ def final_answers(
     leaves a null answer and its ``error``.
     """
     kept = [c for c in cases.columns if c not in ("model_id", "messages")]
-    given = cases.where(is_filled(answer)).select(*kept, F.lit("given").alias("origin"), F.lit(None).cast("string").alias("error"))
+    no_error = F.lit(None).cast("string").alias("error")
+    given = cases.where(is_filled(answer)).select(*kept, F.lit("given").alias("origin"), no_error)
     asked = score(cases.where(~is_filled(answer)), factory, partitions)
     others = [c for c in kept if c != answer]
     made = asked.select(*others, clean_answer("reply").alias(answer), F.lit("model").alias("origin"), "error")

@@ -277,7 +277,9 @@ class Caseload:
     def postings(self) -> DataFrame:
         """``posting, account, chart``: parts booked by size; some state no chart."""
         chart = F.when(F.col("p_type") == "SMALL", "SKR04").when(F.col("p_type") != "ECONOMY", "SKR03")
-        return self.table("part").select(F.col("p_partkey").alias("posting"), F.col("p_size").alias("account"), chart.alias("chart"))
+        return self.table("part").select(
+            F.col("p_partkey").alias("posting"), F.col("p_size").alias("account"), chart.alias("chart")
+        )
 
     def chart(self) -> DataFrame:
         """``chart, account, booking_code``: two charts that list some of the accounts."""

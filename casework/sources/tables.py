@@ -8,7 +8,9 @@ from pyspark.sql.types import StructType
 SMALL_INPUT_SPLITS = 64
 
 
-def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, folder: str, name: str, fmt: str = "parquet", schema: StructType | str | None = None
+) -> DataFrame:
     """``folder/name.fmt``. Formats that would infer a schema by reading the data need one."""
     if fmt in ("json", "csv") and schema is None:
         raise ValueError(f"{fmt} needs a schema: inferring one reads the whole input")
