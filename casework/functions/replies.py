@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import WS, any_of, strip
+from .text import WS, any_of, col, strip
 
 # Fences around a reply, and the words read as truth values.
 FENCE = rf"(?mdU)^```(?:json)?{WS}*|{WS}*```$"
@@ -62,7 +62,8 @@ PROGRESS = ReplyKind(
 
 
 def unfenced(raw: Column | str) -> Column:
-    return strip(F.regexp_replace(raw, FENCE, ""))
+    text = col(raw)
+    return strip(F.when(text.contains("```"), F.regexp_replace(text, FENCE, "")).otherwise(text))
 
 
 def _get(value: Column, kind: str) -> Column:
@@ -73,45 +74,45 @@ def _is_number(tag: Column) -> Column:
     return tag.isin("BIGINT", "DOUBLE", "FLOAT") | tag.startswith("DECIMAL")
 
 
-def _flag(v: Column, tag: Column) -> tuple[Column, Column]:
+# Readers turn a value and its type tag (null when absent) into the field, or
+# null when the value is refused.
+
+
+def _flag(v: Column, tag: Column) -> Column:
     word, number = F.lower(_get(v, "string")), _get(v, "double")
-    value = (
-        F.when(tag == "BOOLEAN", _get(v, "boolean"))
-        .when((tag == "STRING") & word.isin(*TRUE_WORDS), True)
-        .when((tag == "STRING") & word.isin(*FALSE_WORDS), False)
+    is_word = tag.isin("BOOLEAN", "STRING")
+    return (
+        F.when(is_word & word.isin(*TRUE_WORDS), True)
+        .when(is_word & word.isin(*FALSE_WORDS), False)
         .when(_is_number(tag) & (number == 1), True)
         .when(_is_number(tag) & (number == 0), False)
     )
-    return value, value.isNotNull()
 
 
-def _text(v: Column, tag: Column) -> tuple[Column, Column]:
-    return F.coalesce(F.when(tag == "STRING", _get(v, "string")), F.lit("")), tag.isNull() | (tag == "STRING")
+def _text(v: Column, tag: Column) -> Column:
+    return F.when(tag.isNull(), "").when(tag == "STRING", _get(v, "string"))
 
 
-def _optional_text(v: Column, tag: Column) -> tuple[Column, Column]:
-    return F.when(tag == "STRING", _get(v, "string")), tag.isNull() | tag.isin("STRING", "VOID")
+def _optional_text(v: Column, tag: Column) -> Column:
+    return F.when(tag == "STRING", _get(v, "string"))
 
 
-def _texts(v: Column, tag: Column) -> tuple[Column, Column]:
-    items = F.when(tag.isin("ARRAY<STRING>", "ARRAY<VOID>"), _get(v, "array<string>"))
-    has_null = F.exists(items, lambda x: x.isNull())
-    return (
-        F.coalesce(items, F.array().cast("array<string>")),
-        tag.isNull() | F.coalesce(~has_null, F.lit(False)),
-    )
+def _texts(v: Column, tag: Column) -> Column:
+    items = _get(v, "array<string>")
+    whole = tag.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(items, lambda x: x.isNull())
+    return F.when(tag.isNull(), F.array().cast("array<string>")).when(whole, items)
 
 
-def _whole(v: Column, tag: Column) -> tuple[Column, Column]:
+def _whole(v: Column, tag: Column) -> Column:
     number, text = _get(v, "double"), _get(v, "string")
     digits = F.regexp_replace(F.regexp_replace(strip(text), r"\.0*$", ""), "_", "")
-    value = (
-        F.when(tag == "BIGINT", _get(v, "bigint"))
+    return (
+        F.when(tag.isNull(), F.lit(0).cast("bigint"))
+        .when(tag == "BIGINT", _get(v, "bigint"))
         .when(tag == "BOOLEAN", _get(v, "boolean").cast("bigint"))
         .when(_is_number(tag) & (number == F.floor(number)), _get(v, "bigint"))
         .when((tag == "STRING") & text.rlike(WHOLE_NUMBER), digits.try_cast("bigint"))
     )
-    return F.when(tag.isNull(), F.lit(0).cast("bigint")).otherwise(value), tag.isNull() | value.isNotNull()
 
 
 READERS = {"flag": _flag, "text": _text, "optional_text": _optional_text, "texts": _texts, "whole": _whole}
@@ -126,7 +127,7 @@ def parse_replies(df: DataFrame, raw: str, kind: ReplyKind) -> DataFrame:
     """
     keys = [*kind.names, *[k for k in kind.forbidden if k not in kind.names]]
     shape = "array<struct<" + ",".join(f"{k} variant" for k in keys) + ">>"
-    text = F.col("_text")
+    text, found = F.col("_text"), F.col("_object")
     # A reply put into brackets must be exactly one object: this is what
     # refuses trailing text, which a lone object would hide.
     listed = F.concat(F.lit("["), text, F.lit("]"))
@@ -138,26 +139,25 @@ def parse_replies(df: DataFrame, raw: str, kind: ReplyKind) -> DataFrame:
         df.withColumn("_text", unfenced(raw))
         .withColumn("_objects", objects)
         .withColumn("_object", F.explode_outer(F.when(braced & (F.size("_objects") == 1), F.col("_objects"))))
-        .withColumns({f"_tag_{k}": F.schema_of_variant(F.col("_object")[k]) for k in keys})
+        .withColumns({f"_tag_{k}": F.schema_of_variant(found[k]) for k in keys})
+        .withColumns({f"_value_{f.name}": READERS[f.kind](found[f.name], F.col(f"_tag_{f.name}")) for f in kind.fields})
     )
     one_value = F.size(F.from_json(listed, "array<variant>", STRICT)) == 1
     reason = (
-        F.when(F.col("_object").isNull() & ~text.startswith("{") & one_value, "not_object")
-        .when(F.col("_object").isNull(), "not_json")
+        F.when(found.isNull() & ~text.startswith("{") & one_value, "not_object")
+        .when(found.isNull(), "not_json")
         .when(any_of([F.col(f"_tag_{k}").isNotNull() for k in kind.forbidden]), "key_collision")
     )
-    values = {}
     for field in kind.fields:
-        tag = F.col(f"_tag_{field.name}")
-        value, ok = READERS[field.kind](F.col("_object")[field.name], tag)
-        values[field.name] = value
+        tag, value = F.col(f"_tag_{field.name}"), F.col(f"_value_{field.name}")
+        may_lack = field.kind == "optional_text"
+        refused = tag.isNotNull() & (tag != "VOID") & value.isNull() if may_lack else value.isNull()
         if field.required:
             reason = reason.when(tag.isNull(), f"missing:{field.name}")
-        reason = reason.when(~ok, f"type:{field.name}")
-    checked = F.struct(*[value.alias(name) for name, value in values.items()], reason.alias("reason"))
+        reason = reason.when(refused, f"type:{field.name}")
+    checked = F.struct(*[F.col(f"_value_{n}").alias(n) for n in kind.names], reason.alias("reason"))
     out = staged.select(*df.columns, F.explode(F.array(checked)).alias("_checked"))
-    bad = F.col("_checked.reason").isNotNull()
-    fields = [F.when(~bad, F.col(f"_checked.{name}")).alias(name) for name in values]
+    fields = [F.when(F.col("_checked.reason").isNull(), F.col(f"_checked.{n}")).alias(n) for n in kind.names]
     return out.select(*df.columns, *fields, F.col("_checked.reason").alias("reason"))
 
 

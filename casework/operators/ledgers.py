@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import first_match
 from .registry import with_known_worker
-from .skew import ROWS_PER_CHUNK, OrderedLog
+from .skew import WIDE_ROWS_PER_CHUNK, OrderedLog
 
 NO_LEDGER = "(none)"
 STEP = r"(?s)^\[([^\]]+)\]\s*(.*)$"
@@ -42,7 +42,7 @@ def revision_delta(
     ledgers: DataFrame,
     case: str = "case_id",
     revision: str = "revision",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = WIDE_ROWS_PER_CHUNK,
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Per revision after the first: facts learned and dropped, plan steps repeated verbatim.

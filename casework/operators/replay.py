@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_filled
-from .skew import ROWS_PER_CHUNK, OrderedLog
+from .skew import ROWS_PER_CHUNK, WIDE_ROWS_PER_CHUNK, OrderedLog
 
 MAX_STALLS = 2
 MAX_REPLANS = 2
@@ -88,11 +88,9 @@ def replay_trace(
 
     # A step that neither progresses nor leads to a replan by itself is
     # "waiting"; any other step ends the run of stalled steps before it.
-    rows = (
-        log.df.withColumn("_waiting", _stalled() & F.col("known_speaker"))
-        .withColumn("_at", F.row_number().over(order).cast("bigint"))
-        .withColumn("_restart", F.max(F.when(~F.col("_waiting"), F.col("_at"))).over(before))
-    )
+    waiting = _stalled() & F.col("known_speaker")
+    rows = log.df.withColumns({"_waiting": waiting, "_at": F.row_number().over(order).cast("bigint")})
+    rows = rows.withColumn("_restart", F.max(F.when(~F.col("_waiting"), F.col("_at"))).over(before))
 
     def asks(run: Column) -> Column:
         """Whether a step asks for a replan, as if the case never ended."""
@@ -108,10 +106,9 @@ def replay_trace(
     else:
         asked_in, over_in = F.lit(0), F.lit(False)
 
+    stall = F.when(_stalled(), run % limit + 1).otherwise(0).cast("bigint")
     rows = (
-        rows.withColumn("_seq", _at_once(log))
-        .withColumn("_stall", F.when(_stalled(), run % limit + 1).otherwise(0).cast("bigint"))
-        .withColumn("_asks", asks(run))
+        rows.withColumns({"_seq": _at_once(log), "_stall": stall, "_asks": asks(run)})
         .withColumn("_asked", asked_in + F.sum(F.col("_asks").cast("bigint")).over(so_far))
         .withColumn("_spent", F.col("_asks") & (F.col("_asked") > max_replans))
         .withColumn("_ends", F.col("is_request_satisfied") | F.col("_spent"))
@@ -200,7 +197,7 @@ def repeated_steps(
     same: tuple[str, ...] = ("next_speaker", "instruction", "reply"),
     case: str = "case_id",
     seq: str = "seq",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = WIDE_ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Flag steps that repeat the one before in every column of ``same``; nulls are equal."""
     log = OrderedLog.of(steps.select(case, seq, *same), case, seq, rows_per_chunk=rows_per_chunk)

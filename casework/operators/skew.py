@@ -16,7 +16,9 @@ from ..functions.text import any_of
 # Up to this many hot keys are held on the driver and broadcast (a few dozen
 # bytes each); beyond it the same table is joined by shuffle.
 MAX_LISTED_KEYS = 100_000
-ROWS_PER_CHUNK = 5_000_000
+ROWS_PER_CHUNK = 1_000_000
+# The same for rows that carry texts or lists.
+WIDE_ROWS_PER_CHUNK = 100_000
 MAX_CHUNKS = 4_096
 CUT_ROUNDS = 3
 # Bounds under which a dimension is broadcast.
