@@ -71,11 +71,19 @@ def unknown_worker_report(df: DataFrame, registry: DataFrame, speaker: str = "ne
     return unknown_workers(counts, registry, speaker)
 
 
+def routing_view(log: DataFrame) -> DataFrame:
+    """Routes set in ``reg_seq`` order to one model per role; the last one set counts."""
+    return log.groupBy("role").agg(F.max_by("model_id", "reg_seq").alias("model_id"))
+
+
 def assign_models(
     df: DataFrame, routing: DataFrame, default_model: str, role: str = "role",
     broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Add ``model_id``: the one routed to the role, else the default."""
+    """Add ``model_id``: the one routed to the role, else the default.
+
+    ``routing`` has one row per role; see ``routing_view``.
+    """
     routes = routing.select(F.col("role").alias(role), F.col("model_id").alias("_model"))
     joined = lookup(df, routes, role, "left", broadcast_rows, rows_per_task)
     return joined.select(*df.columns, F.coalesce("_model", F.lit(default_model)).alias("model_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import is_filled
 from .prompts import clean_answer
+from .skew import row_hash
 
 # One model: a list of requests (each a list of role/content dicts) to replies.
 Model = Callable[[list[list[dict]]], list[str]]
@@ -37,7 +38,7 @@ def score(requests: DataFrame, factory: ModelFactory, partitions: int | None = N
     every task.
     """
     if partitions:
-        requests = requests.repartition(partitions, F.xxhash64(*requests.columns))
+        requests = requests.repartition(partitions, row_hash(requests))
     schema = T.StructType(
         [
             *requests.schema.fields,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import any_of
 
@@ -39,6 +39,12 @@ def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return n <= rows and n_bytes <= size
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, the same on every retry; maps cannot be hashed."""
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
 def _listed(stats: DataFrame) -> tuple[DataFrame, bool]:
     """A small aggregated table as a local one; the flag says whether it has rows."""
     rows = stats.limit(MAX_LISTED_KEYS + 1).collect()
@@ -74,8 +80,8 @@ def lookup(
         # Keys cannot be counted ahead of a stream; a micro-batch is bounded.
         return facts.join(dim, keys, how)
 
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns])
-    salt = F.when(any_of([F.col(k).isNull() for k in keys]), F.pmod(row_hash, F.lit(1 << 20)))
+    hashed = row_hash(facts)
+    salt = F.when(any_of([F.col(k).isNull() for k in keys]), F.pmod(hashed, F.lit(1 << 20)))
     salts, any_hot = None, False
     if rows_per_task is not None:
         counts = facts.na.drop(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -83,7 +89,7 @@ def lookup(
         salts, any_hot = _listed(counts.where(F.col("_n") > rows_per_task).select(*keys, n_salts))
     if any_hot:
         facts, dim = facts.join(salts, keys, "left"), dim.join(salts, keys, "left")
-        salt = salt.when(F.col("_salts") > 1, F.pmod(row_hash, F.col("_salts")))
+        salt = salt.when(F.col("_salts") > 1, F.pmod(hashed, F.col("_salts")))
         copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
         dim = dim.withColumn("_salt", F.explode(copies)).drop("_salts")
     else:

@@ -500,6 +500,7 @@ ORACLES: dict[str, str] = {
     "unknown_workers": f"WITH {STEPS}, {WORKERS} SELECT case_id, seq, next_speaker FROM steps WHERE next_speaker NOT IN (SELECT name FROM workers)",
     "unknown_worker_report": f"""WITH {STEPS}, {WORKERS} SELECT next_speaker, count(*) AS n_uses FROM steps
         WHERE next_speaker NOT IN (SELECT name FROM workers) GROUP BY next_speaker""",
+    "routing_view": "SELECT p_type AS role, arg_max(p_brand, p_partkey) AS model_id FROM part GROUP BY p_type",
     "model_assignment": f"""WITH {STEPS}, {ROUTING} SELECT seq AS call_id, next_speaker AS role, coalesce(model_id, {text(DEFAULT_MODEL)}) AS model_id
         FROM steps LEFT JOIN routing ON role = next_speaker""",
     "model_usage": f"""WITH {STEPS}, {ROUTING} SELECT coalesce(model_id, {text(DEFAULT_MODEL)}) AS model_id, count(*) AS n_calls,

@@ -345,6 +345,15 @@ def unknown_worker_report(t: Caseload) -> DataFrame:
     return registry.unknown_worker_report(t.steps(), registry.registry_view(t.worker_log()))
 
 
+@query
+def routing_view(t: Caseload) -> DataFrame:
+    """Every part routes its type to its brand; the last part of a type decides."""
+    log = t.table("part").select(
+        F.col("p_partkey").alias("reg_seq"), F.col("p_type").alias("role"), F.col("p_brand").alias("model_id")
+    )
+    return registry.routing_view(log)
+
+
 @query
 def model_assignment(t: Caseload) -> DataFrame:
     return registry.assign_models(t.calls(), t.routing(), DEFAULT_MODEL)

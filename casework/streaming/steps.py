@@ -91,7 +91,8 @@ def stream_replay(
 
     Equal to the batch result for steps that arrive in ``seq`` order per case;
     a step at or below the last one seen is emitted as ``late`` and not folded.
-    ``ttl_ms`` forgets cases that have been quiet for so long.
+    ``ttl_ms`` forgets cases that have been quiet for so long; it needs a
+    repeating trigger, as an ``availableNow`` run with expiry does not end.
     """
     flags = ["is_request_satisfied", "is_in_loop", "is_progress_being_made", "known_speaker"]
     return (

@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -22,7 +21,6 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
             "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="casework-tests-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -48,6 +48,11 @@ def test_known_and_unknown_speakers(spark, view):
     assert report == {"ghost": 2, None: 1, "": 1}
 
 
+def test_last_route_counts(spark):
+    log = spark.createDataFrame([(0, "finance", "a"), (2, "finance", "c"), (1, "finance", "b"), (3, "datev", "d")], "reg_seq long, role string, model_id string")
+    assert {tuple(r) for r in registry.routing_view(log).collect()} == {("finance", "c"), ("datev", "d")}
+
+
 def test_models_by_role_with_a_default(spark, routing):
     df = spark.createDataFrame([(1, "finance"), (2, "logistics"), (3, None), (4, "finance")], "id long, role string")
     calls = registry.assign_models(df, routing, "orch")

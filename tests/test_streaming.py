@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ def test_late_and_repeated_steps_are_marked_not_folded(spark, tmp_path):
     assert got == [(0, "dispatch"), (1, "dispatch"), (3, "late"), (5, "dispatch"), (5, "late"), (6, "dispatch"), (6, "late")]
 
 
+def test_replay_with_expiring_state(spark, tmp_path):
+    put(table(spark, {1: [(False, False, True, True, "x")] * 3}), str(tmp_path / "in"))
+    stream = spark.readStream.schema(STEP).parquet(str(tmp_path / "in"))
+    query = (
+        live.stream_replay(stream, ttl_ms=3_600_000)
+        .writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(processingTime="1 second").start()
+    )
+    try:
+        deadline = time.time() + 60
+        while not spark.table("expiring").count() and time.time() < deadline:
+            time.sleep(0.5)
+        assert [r.route for r in spark.table("expiring").collect()] == ["dispatch"] * 3
+    finally:
+        query.stop()
+
+
 @pytest.mark.parametrize(("max_stalls", "max_replans"), [(2, 2), (1, 1), (3, 40), (0, 3)])
 def test_routing_in_slices_equals_routing_at_once(max_stalls, max_replans):
     import pandas as pd
