@@ -174,13 +174,12 @@ class OrderedLog:
     def result(self) -> DataFrame:
         return self.df.drop(*self.chunks)
 
-    def window(self, backwards: bool = False):
+    def window(self):
         """Rows of one group in order."""
-        order = [F.col(c) for c in (self.seq, *self.ties)]
-        return Window.partitionBy(*self.group).orderBy(*[c.desc() if backwards else c for c in order])
+        return Window.partitionBy(*self.group).orderBy(self.seq, *self.ties)
 
     def chunk_window(self, backwards: bool = False):
-        """All earlier chunks of a key, over a table of one row per chunk."""
+        """All earlier (or later) chunks of a key, over a table of one row per chunk."""
         order = [F.col(c) for c in self.chunks]
         return (
             Window.partitionBy(self.key)
@@ -188,8 +187,8 @@ class OrderedLog:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
 
-    def _scan(self, name: str, agg, merge, value: Column, inclusive: bool, backwards: bool = False) -> OrderedLog:
-        frame = self.window(backwards).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    def _scan(self, name: str, agg, merge, value: Column, inclusive: bool) -> OrderedLog:
+        frame = self.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         inside = self.df.withColumn(name, agg(value).over(frame))
         if not self.chunks:
             return self.with_df(inside)
@@ -197,7 +196,7 @@ class OrderedLog:
         carry = (
             self.df.groupBy(*self.group)
             .agg(agg(value).alias("_total"))
-            .withColumn("_carry", agg("_total").over(self.chunk_window(backwards)))
+            .withColumn("_carry", agg("_total").over(self.chunk_window()))
             .drop("_total")
         )
         joined = inside.join(carry, self.group, "left")

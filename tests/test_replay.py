@@ -108,6 +108,13 @@ def test_chunks_with_gaps_and_far_outliers(spark):
     assert traced(df, rows_per_chunk=5) == expected
 
 
+@pytest.mark.parametrize("rows_per_chunk", [1_000_000, 3])
+def test_rows_without_a_case_are_kept(spark, rows_per_chunk):
+    df = table(spark, {1: [GO] * 10}).unionByName(table(spark, {1: [GO, STALL]}).withColumn("case_id", F.lit(None).cast("long")))
+    got = traced(df, rows_per_chunk=rows_per_chunk)
+    assert len(got[1]) == 10 and [r for r, *_ in got[None]] == ["dispatch", "dispatch"]
+
+
 def test_two_steps_at_one_place_fail(spark):
     df = table(spark, {1: [GO]}).unionByName(table(spark, {1: [STALL]}))
     with pytest.raises(PySparkException, match="duplicate seq in case 1"):
