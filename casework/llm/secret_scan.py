@@ -33,7 +33,10 @@ SCOPE = 200
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
-_NONE = F.expr(f"cast(array() as {_SPAN})")
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as {_SPAN})")
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -52,7 +55,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
             F.length(before).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("len"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("has")
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), _NONE.alias("found"))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -65,7 +68,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
 
 
 def _when(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(_NONE)
+    return F.when(test, spans).otherwise(_none())
 
 
 def strong_spans(text: Column) -> Column:
@@ -124,7 +127,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = found.where(F.size("_weak") > 0).withColumns({"_k1": F.xxhash64(*plain_cols), "_k2": F.xxhash64(F.lit(1), *plain_cols)})
     rows = stage(keyed.select("_k1", "_k2", F.col("strong").alias("_strong"), "_weak").dropDuplicates(["_k1", "_k2"]), "weak-parts")
     linked = keyed.drop("_weak").join(_confirmed(rows), ["_k1", "_k2"], "left")
-    linked = linked.withColumn("spans", F.array_sort(F.concat("strong", F.coalesce("_added", _NONE))))
+    linked = linked.withColumn("spans", F.array_sort(F.concat("strong", F.coalesce("_added", _none()))))
     return plain.unionByName(linked.drop("_k1", "_k2", "_added"))
 
 
