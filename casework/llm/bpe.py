@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, types as T
 from .common import added, chunks
 
 # Text whose distinct pre-tokens are merged together, in characters.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 # Largest rank file that is sent to executors.
 MAX_RANK_BYTES = 64 << 20
 # Pieces of text whose ids a task remembers; it starts anew beyond.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 # The code points with Unicode's White_Space property (fixed values).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SHIFT = 24
@@ -204,7 +204,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: st
         token = shared.value.__getitem__
         for batch in batches:
             column = batch.column(ids)
-            size = 512
+            size = 128
             for start in range(0, len(column), size):
                 found = [b"".join(map(token, np.frombuffer(v or b"", "<u4").tolist())) for v in column.slice(start, size).to_pylist()]
                 yield added(batch.slice(start, size), {decoded: pa.array(found, pa.binary())})
