@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import bagminhash, bpe, decontam, secret_scan, toxicity
+from . import bagminhash, bpe, decontam, secret_scan, sharding, substrings, toxicity, trie_counts
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -51,10 +52,28 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return trie_counts.count_tokens(docs, trie_counts.read_pieces(PIECES)).drop("text")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law")
+    )
+    placed = sharding.assign(docs, ["doc_id", "text_crc32", "size"])
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -64,7 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_sharding": op10_sharding,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
