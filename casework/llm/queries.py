@@ -8,8 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import run_dir
 from ..sources.tables import read_table
-from . import bagminhash, bpe, decontam, secret_scan, sharding, substrings, toxicity, trie_counts
+from . import bagminhash, bpe, decontam, nndescent, secret_scan, sharding, substrings, toxicity, trie_counts, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,6 +57,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payloads=False).drop("target_uri")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return trie_counts.count_tokens(docs, trie_counts.read_pieces(PIECES)).drop("text")
@@ -84,9 +95,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_embedding_near_dups": op6_embedding_near_dups,
+    "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sharding": op10_sharding,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_BITS = "list_transform(range(1, 41), lambda i: format('{:04b}', instr('0123456789abcdef', substr(h, i::INTEGER, 1)) - 1))"
+
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM split WHERE len(w) >= 20)),
+        again AS (
+            SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM again),
+        places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM split),
+        kept AS (
+            SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.at) AS t
+            FROM places p ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.at = c.at GROUP BY p.doc_id)
+        SELECT s.doc_id, len(s.w) AS n_words, len(s.w) - coalesce(k.n, 0) AS n_removed,
+               sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id""",
+    "op6_embedding_near_dups": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reached AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+        SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links,
+               min(r.b) AS component_id, min(r.b) = v.vec_id AS kept
+        FROM v JOIN reached r ON r.a = v.vec_id GROUP BY v.vec_id""",
+    "op7_warc": f"""
+        WITH hashed AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        bits AS (SELECT page_id, n, array_to_string({_BITS}, '') AS b FROM hashed),
+        coded AS (
+            SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5),
+                    lambda j: (1 << (4 - j)::INTEGER) * substr(b, (5 * i + j + 1)::INTEGER, 1)::INTEGER))::INTEGER, 1)), '') AS d
+            FROM bits),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM coded)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first THEN first END AS refers_to
+        FROM firsts""",
+}
