@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, id_filter, id_key, quoted, stage
+from .common import id_filter, id_key, quoted, stage, text_slices
 from .graph import components
 from .words import LETTERS, U, mix, text_windows, word_hashes
 
@@ -117,13 +117,11 @@ def occurrences(found: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tup
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for start, stop in chunks(texts):
-                parts = shingles(texts[start:stop])
-                rows = signatures(*parts, stop - start)
-                any_word = np.bincount(parts[1], minlength=stop - start) > 0
+            for keys, texts in text_slices(batch, "_text"):
+                parts = shingles(texts)
+                rows = signatures(*parts, len(texts))
+                any_word = np.bincount(parts[1], minlength=len(texts)) > 0
                 signature = pa.array([r.tobytes() if ok else None for r, ok in zip(rows, any_word, strict=True)], pa.binary())
-                keys = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([keys.column("_k"), keys.column("_text_id"), signature], names=["_k", "_text_id", "_sig"])
 
     return docs.mapInArrow(run, "_k long, _text_id binary, _sig binary")
@@ -132,12 +130,11 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for start, stop in chunks(texts):
-                values, owner = occurrences(*shingles(texts[start:stop]))
-                offsets = np.searchsorted(owner, np.arange(stop - start + 1)).astype(np.int32)
+            for keys, texts in text_slices(batch, "_text"):
+                values, owner = occurrences(*shingles(texts))
+                offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("_k").slice(start, stop - start), sets], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([keys.column("_k"), sets], names=["node", "items"])
 
     return docs.mapInArrow(run, "node long, items array<long>")
 

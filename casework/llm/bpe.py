@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from .common import added, chunks
+from .common import added, text_slices
 
 # Text whose distinct pre-tokens are merged together, in characters.
 CHUNK = 2 << 20
@@ -185,10 +185,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for start, stop in chunks(texts, CHUNK):
-                found = pa.array(replay.encode(texts[start:stop]), pa.binary())
-                yield added(batch.slice(start, stop - start), {ids: found})
+            for part, texts in text_slices(batch, text, CHUNK, 1024):
+                yield added(part, {ids: pa.array(replay.encode([t or "" for t in texts]), pa.binary())})
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
 

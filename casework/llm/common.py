@@ -16,7 +16,7 @@ from ..session import run_dir
 FILTER_BITS = 1 << 25
 FILTER_HASHES = 3
 # Text that a task works on at once, in bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch with their texts, so that a task holds few texts as Python values at a time."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        texts = part.column(column).to_pylist()
+        for start, stop in chunks(texts, size):
+            yield part.slice(start, stop - start), texts[start:stop]
+
+
 def added(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import added, quoted
+from .common import added, quoted, text_slices
 from .words import U, powers
 
 Q = 10
@@ -252,16 +252,15 @@ def _searched(docs: DataFrame, block: list[tuple], text: str, name: str, kind: T
         ids, *parts = shared.value
         index, chars = Index(*parts), _char_table()
         for batch in batches:
-            out = []
-            before = batch.column(name).to_pylist() if again else None
-            for i, value in enumerate(batch.column(text).to_pylist()):
-                codes, at = normalized(value, chars)
-                found = [
-                    {"item": ids[row], "start": int(at[a]), "end": int(at[min(b, len(at)) - 1]) + 1, "edits": e} for row, a, b, e in index.matches(codes) if b > a
-                ]
-                out.append([*before[i], *found] if again else found)
-            rest = batch.drop_columns([name]) if again else batch
-            yield added(rest, {name: pa.array(out, arrow_kind)}).select([f.name for f in fields])
+            for part, texts in text_slices(batch, text):
+                out = part.column(name).to_pylist() if again else [[] for _ in texts]
+                for found, value in zip(out, texts, strict=True):
+                    codes, at = normalized(value, chars)
+                    for row, a, b, edits in index.matches(codes):
+                        if b > a:
+                            found.append({"item": ids[row], "start": int(at[a]), "end": int(at[min(b, len(at)) - 1]) + 1, "edits": edits})
+                rest = part.drop_columns([name]) if again else part
+                yield added(rest, {name: pa.array(out, arrow_kind)}).select([f.name for f in fields])
 
     return docs.mapInArrow(run, T.StructType(fields))
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, id_filter, quoted, stage
+from .common import id_filter, quoted, stage, text_slices
 from .words import NOT_SPACE, U, mix, windows, word_hashes
 
 WINDOW = 20
@@ -45,8 +45,8 @@ _RESULT = "_k long, n_words long, n_removed long, kept_sha256 string"
 def _untouched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_kept((t or "").encode("utf-8", "surrogatepass"), None) for t in batch.column("_text").to_pylist()]
-            yield _rows(batch.column("_k"), rows)
+            for part, texts in text_slices(batch, "_text"):
+                yield _rows(part.column("_k"), [_kept((t or "").encode("utf-8", "surrogatepass"), None) for t in texts])
 
     return docs.mapInArrow(run, _RESULT)
 
@@ -63,16 +63,16 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column("_text").to_pylist(), batch.column("_k").to_numpy(zero_copy_only=False)
-            for start, stop in chunks(texts):
-                _, words, first = _split(texts[start:stop])
+            for part, texts in text_slices(batch, "_text"):
+                keys = part.column("_k").to_numpy(zero_copy_only=False)
+                _, words, first = _split(texts)
                 every = windows(words, ANCHOR)
-                owner = np.repeat(np.arange(stop - start), np.diff(first))[: len(every)]
+                owner = np.repeat(np.arange(len(texts)), np.diff(first))[: len(every)]
                 at = np.arange(len(every)) - first[owner]
                 count = np.diff(first)[owner]
                 use = _IN_COVER[at % PERIOD] & (at + ANCHOR <= count) & (count >= WINDOW)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(every[use].view(np.int64)), pa.array(keys[start:stop][owner[use]]), pa.array(at[use].astype(np.int32))], names=["anchor", "_k", "at"]
+                    [pa.array(every[use].view(np.int64)), pa.array(keys[owner[use]]), pa.array(at[use].astype(np.int32))], names=["anchor", "_k", "at"]
                 )
 
     return docs.mapInArrow(run, "anchor long, _k long, at int")
@@ -94,12 +94,12 @@ def _extended(marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, anchors = (batch.column(c).to_pylist() for c in ("_text", "_k", "ats"))
-            for start, stop in chunks(texts):
-                _, words, first = _split(texts[start:stop])
+            for rows, texts in text_slices(batch, "_text"):
+                keys, anchors = (rows.column(c).to_pylist() for c in ("_k", "ats"))
+                _, words, first = _split(texts)
                 parts = []
-                for i in range(start, stop):
-                    own = words[first[i - start] : first[i - start + 1]]
+                for i in range(len(texts)):
+                    own = words[first[i] : first[i + 1]]
                     pair = np.stack(_window_keys(own, _candidates(len(own), anchors[i])), 1)
                     order = np.lexsort((pair[:, 1], pair[:, 0]))
                     pair = pair[order]
@@ -130,16 +130,15 @@ def _removed(marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, anchors, firsts = (batch.column(c) for c in ("_text", "ats", "firsts"))
-            texts = texts.to_pylist()
-            for start, stop in chunks(texts):
-                blobs, words, first = _split(texts[start:stop])
+            for part, texts in text_slices(batch, "_text"):
+                anchors, firsts = part.column("ats"), part.column("firsts")
+                blobs, words, first = _split(texts)
                 rows = []
-                for i in range(start, stop):
-                    own = words[first[i - start] : first[i - start + 1]]
+                for i in range(len(texts)):
+                    own = words[first[i] : first[i + 1]]
                     known = np.array(firsts[i].as_py() or [], np.int64).view(U)
-                    rows.append(_kept(blobs[i - start], one(own, anchors[i].as_py(), known)))
-                yield _rows(batch.column("_k").slice(start, stop - start), rows)
+                    rows.append(_kept(blobs[i], one(own, anchors[i].as_py(), known)))
+                yield _rows(part.column("_k"), rows)
 
     return marked.mapInArrow(run, _RESULT)
 

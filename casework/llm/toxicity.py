@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import added, chunks, quoted, stage
+from .common import added, quoted, stage, text_slices
 
 # Labelled rows of each class that the model is fitted to, chosen by a hash of
 # their id; about this many, whatever the number of labels.
@@ -118,10 +118,9 @@ def _token_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist()
-            for start, stop in chunks(texts, 8 << 20):
+            for part, texts in text_slices(batch, "_text", 4 << 20, 2048):
                 every, by_class = Counter(), (Counter(), Counter())
-                for text, label in zip(texts[start:stop], toxic[start:stop], strict=True):
+                for text, label in zip(texts, part.column("_toxic").to_pylist(), strict=True):
                     words = set(tokens(text))
                     every.update(words)
                     if label is not None:
@@ -194,7 +193,8 @@ def _scanned(docs: DataFrame, model: Model) -> DataFrame:
         held = Model(*shared.value)
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
+            labelled = ((t, y) for part, texts in text_slices(batch, "_text") for t, y in zip(texts, part.column("_toxic").to_pylist(), strict=True))
+            for text, toxic in labelled:
                 length, found = held.scan(text)
                 best = max((s for *_, s in found), default=0.0)
                 value = min(held.evidence(length, found), 1e6)
@@ -266,17 +266,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*shared.value)
         for batch in batches:
-            scores, passages = [], []
-            for value in batch.column(text).to_pylist():
-                length, found = held.scan(value)
-                scores.append(held.score(held.evidence(length, found)))
-                told = [(a, b, held.surprise(length, s)) for a, b, s in found]
-                passages.append([{"start": a, "end": b, "p": math.exp(-s)} for a, b, s in told if s > 3.0])
-            predicted = [int(s >= 0.5) for s in scores]
-            yield added(
-                batch,
-                {"score": pa.array(scores, pa.float64()), "predicted": pa.array(predicted, pa.int32()), "passages": pa.array(passages, arrow_passage)},
-            )
+            for part, texts in text_slices(batch, text):
+                scores, passages = [], []
+                for value in texts:
+                    length, found = held.scan(value)
+                    scores.append(held.score(held.evidence(length, found)))
+                    told = [(a, b, held.surprise(length, s)) for a, b, s in found]
+                    passages.append([{"start": a, "end": b, "p": math.exp(-s)} for a, b, s in told if s > 3.0])
+                predicted = [int(s >= 0.5) for s in scores]
+                columns = pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(passages, arrow_passage)
+                yield added(part, dict(zip(names, columns, strict=True)))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
-from .common import added, chunks
+from .common import added, text_slices
 
 SPACE_MARK = "▁"
 CHUNK = 2 << 20
@@ -91,9 +91,8 @@ def count_tokens(df: DataFrame, pieces: dict[str, float], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = Trie(shared.value), {}
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for start, stop in chunks(texts, CHUNK):
-                words = [(t or "").split() for t in texts[start:stop]]
+            for part, texts in text_slices(batch, text, CHUNK, 1024):
+                words = [(t or "").split() for t in texts]
                 fresh = {w for ws in words for w in ws}.difference(known)
                 if len(known) + len(fresh) > REMEMBERED:
                     known = {}
@@ -103,6 +102,6 @@ def count_tokens(df: DataFrame, pieces: dict[str, float], text: str = "text") ->
                 counts = [[known[w] for w in ws] for ws in words]
                 columns = [[len(c) for c in counts], [sum(n for n, _ in c) for c in counts], [math.fsum(s for _, s in c) for c in counts]]
                 arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-                yield added(batch.slice(start, stop - start), dict(zip(names, arrays, strict=True)))
+                yield added(part, dict(zip(names, arrays, strict=True)))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
