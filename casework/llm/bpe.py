@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, types as T
 from .common import added, text_slices
 
 # Text whose distinct pre-tokens are merged together, in characters.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 # Largest rank file that is sent to executors.
 MAX_RANK_BYTES = 64 << 20
 # Pieces of text whose ids a task remembers; it starts anew beyond.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 # The code points with Unicode's White_Space property (fixed values).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SHIFT = 24
@@ -172,23 +172,32 @@ def _without(df: DataFrame, name: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() == name.lower()])
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _decoded(values: list[bytes | None], token) -> pa.Array:
+    return pa.array([b"".join(map(token, np.frombuffer(v or b"", "<u4").tolist())) for v in values], pa.binary())
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with ``ids``: the token ids of each whole text, little-endian
-    unsigned 32-bit integers in one binary value.
+    unsigned 32-bit integers in one binary value. With ``decoded`` the ids are
+    decoded again in the same pass, into a column of that name.
 
     A null text counts as empty and gives empty ids; repeated rows are encoded
     alike. A column already named ``ids`` is replaced. No shuffle.
     """
-    df = _without(df, ids)
+    df = _without(_without(df, ids), decoded or ids)
+    added_names = [ids, decoded] if decoded else [ids]
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(*shared.value)
+        token = {rank: token for token, rank in shared.value[0].items()}.__getitem__
         for batch in batches:
             for part, texts in text_slices(batch, text, CHUNK, 1024):
-                yield added(part, {ids: pa.array(replay.encode([t or "" for t in texts]), pa.binary())})
+                found = replay.encode([t or "" for t in texts])
+                columns = [pa.array(found, pa.binary()), *([_decoded(found, token)] if decoded else [])]
+                yield added(part, dict(zip(added_names, columns, strict=True)))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(c, T.BinaryType()) for c in added_names]]))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -204,7 +213,6 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: st
             column = batch.column(ids)
             size = 128
             for start in range(0, len(column), size):
-                found = [b"".join(map(token, np.frombuffer(v or b"", "<u4").tolist())) for v in column.slice(start, size).to_pylist()]
-                yield added(batch.slice(start, size), {decoded: pa.array(found, pa.binary())})
+                yield added(batch.slice(start, size), {decoded: _decoded(column.slice(start, size).to_pylist(), token)})
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))
