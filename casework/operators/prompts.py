@@ -76,11 +76,13 @@ def worker_requests(
 ) -> DataFrame:
     """Add ``model_id`` and ``messages`` to dispatches of registered workers.
 
+    A dispatch without a speaker or an instruction asks nobody anything.
     Roles get their model on the registry, before it meets the dispatches.
     """
     routed = assign_models(registry.select("name", "system_prompt", "role"), routing, default_model)
     workers = routed.select(F.col("name").alias(speaker), "system_prompt", "role", "model_id")
-    joined = lookup(dispatches, workers, speaker, "inner", broadcast_rows, rows_per_task)
+    sent = dispatches.where(is_filled(speaker) & is_filled(instruction))
+    joined = lookup(sent, workers, speaker, "inner", broadcast_rows, rows_per_task)
     system = F.concat(F.lit(header + "\n\n"), text_or_empty("system_prompt"))
     return joined.select(
         *dispatches.columns, "role", "model_id", messages(system, text_or_empty(instruction)).alias("messages")

@@ -375,8 +375,9 @@ dispatches AS (
   FROM conversations WHERE role = 'user'),
 sent AS (
   SELECT d.case_id, d.step, coalesce(r.model_id, {text(DEFAULT_MODEL)}) AS model_id,
-         {text(WORKER_HEADER)} || chr(10) || chr(10) || w.system_prompt AS system, coalesce(d.instruction, '') AS "user"
-  FROM dispatches d JOIN workers w ON w.name = d.next_speaker LEFT JOIN routing r ON r.role = w.name)"""
+         {text(WORKER_HEADER)} || chr(10) || chr(10) || w.system_prompt AS system, d.instruction AS "user"
+  FROM dispatches d JOIN workers w ON w.name = d.next_speaker LEFT JOIN routing r ON r.role = w.name
+  WHERE d.instruction <> '')"""
 
 ORACLES: dict[str, str] = {
     "envelope_documents": f"WITH {TEXTS} SELECT doc_id, source, {wrap('content', 'source')} AS envelope FROM texts",
