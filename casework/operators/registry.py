@@ -27,19 +27,15 @@ def registry_view(log: DataFrame) -> DataFrame:
 
 
 def manifest(registry: DataFrame) -> DataFrame:
-    """``part, n_workers, manifest``: one ``- name: description`` line per worker, in position order."""
+    """``n_workers, manifest``: one ``- name: description`` line per worker, in position order."""
     line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), text_or_empty("description"))
     rows = registry.select(F.lit("workers").alias("_all"), "position", line.alias("_text"))
     joined = join_lines(rows, "_all", "position", F.col("_text"), "manifest")
-    return joined.select("part", F.col("n_lines").alias("n_workers"), "manifest")
+    return joined.select(F.col("n_lines").alias("n_workers"), "manifest")
 
 
 def manifest_text(registry: DataFrame) -> Column:
-    """The manifest as a scalar for prompts: computed once, not joined to every row.
-
-    More than one part means the registry is too large for any prompt, and
-    the scalar subquery fails.
-    """
+    """The manifest as a scalar for prompts: computed once, not joined to every row."""
     return manifest(registry).select("manifest").scalar()
 
 

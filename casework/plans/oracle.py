@@ -399,10 +399,10 @@ ORACLES: dict[str, str] = {
         SELECT source, phrase, count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_hits FROM found WHERE n > 0 GROUP BY source, phrase""",
     "mask_traces": f"WITH {INVOICE_TEXTS} SELECT case_id, {MASKED} AS masked, {MASK_COUNTS} FROM invoice_texts",
     "transcripts": f"""WITH {TRANSCRIPT}, {LINES}
-        SELECT case_id, 0::BIGINT AS part, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY seq) AS transcript
+        SELECT case_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY seq) AS transcript
         FROM lines GROUP BY case_id
         UNION ALL
-        SELECT doc_id, 0, 0, '(empty)' FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)""",
+        SELECT doc_id, 0, '(empty)' FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)""",
     "dispatch_rows": """
         WITH sent AS (
           SELECT q.conv_id AS case_id, q.turn AS step, CASE WHEN q.turn = 0 THEN 'procurement' ELSE 'finance' END AS who,
@@ -495,7 +495,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN arg_max(p_size, p_partkey) < 10 THEN arg_max(p_type, p_partkey) ELSE p_brand END AS role
         FROM part GROUP BY p_brand""",
     "manifest": """
-        SELECT 0::BIGINT AS part, count(*) AS n_workers, string_agg('- ' || name || ': ' || description, chr(10) ORDER BY position) AS manifest
+        SELECT count(*) AS n_workers, string_agg('- ' || name || ': ' || description, chr(10) ORDER BY position) AS manifest
         FROM (SELECT p_brand AS name, min(p_partkey) AS position, arg_max(p_name, p_partkey) AS description FROM part GROUP BY p_brand)""",
     "known_workers": f"WITH {STEPS}, {WORKERS} SELECT case_id, seq, next_speaker FROM steps WHERE next_speaker IN (SELECT name FROM workers)",
     "unknown_workers": f"WITH {STEPS}, {WORKERS} SELECT case_id, seq, next_speaker FROM steps WHERE next_speaker NOT IN (SELECT name FROM workers)",

@@ -33,7 +33,7 @@ def test_last_registration_wins_at_the_first_position(view):
 
 def test_manifest_lists_workers_in_position_order(spark, view):
     text = "- procurement: reads POs and receipts\n- finance: reads AP"
-    assert [tuple(r) for r in registry.manifest(view).collect()] == [(0, 2, text)]
+    assert [tuple(r) for r in registry.manifest(view).collect()] == [(2, text)]
     one = spark.range(2).select("id", registry.manifest_text(view).alias("m"))
     assert {r.m for r in one.collect()} == {text}
 

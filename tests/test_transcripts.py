@@ -1,7 +1,8 @@
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from casework.operators import transcripts as tr
+from casework.operators import registry, transcripts as tr
 
 SCHEMA = "case_id long, seq long, speaker string, content string"
 
@@ -21,20 +22,48 @@ def test_trusted_lines_are_bare_and_others_wrapped(spark):
     }
 
 
-def test_a_long_case_comes_in_parts_that_join_to_the_whole(spark):
+@pytest.mark.parametrize("chunk", [10, 1_000])
+def test_a_long_case_comes_in_parts_that_join_to_the_whole(spark, chunk):
     rows = [(1, i * i, "w", f"line {i}") for i in range(300)] + [(2, i, "w", f"short {i}") for i in range(3)]
     df = spark.createDataFrame(rows, SCHEMA)
     whole = {r.case_id: r for r in tr.assemble_transcripts(df).collect()}
-    parts = tr.assemble_transcripts(df, lines_per_part=10).orderBy("case_id", "part").collect()
+    parts = tr.transcript_parts(df, part_bytes=600, rows_per_chunk=chunk).orderBy("case_id", "part").collect()
     assert len([p for p in parts if p.case_id == 1]) > 20
     assert [p.part for p in parts if p.case_id == 1] == list(range(len(parts) - 1))
-    # Squares lie unevenly; cutting again keeps every part small.
-    assert max(p.n_lines for p in parts) <= 20
+    longest = max(len(line) for line in whole[1].transcript.split("\n"))
+    assert max(len(p.transcript) for p in parts) <= 600 + longest
     for case, row in whole.items():
         assert "\n".join(p.transcript for p in parts if p.case_id == case) == row.transcript
         assert sum(p.n_lines for p in parts if p.case_id == case) == row.n_lines
 
 
+def test_a_line_longer_than_a_part_leaves_no_gap(spark):
+    rows = [(1, 0, "orchestrator", "a"), (1, 1, "orchestrator", "b" * 900), (1, 2, "orchestrator", "c")]
+    parts = tr.transcript_parts(spark.createDataFrame(rows, SCHEMA), part_bytes=100).orderBy("part").collect()
+    assert [(p.part, p.n_lines) for p in parts] == [(0, 2), (1, 1)]
+    with pytest.raises(PySparkException, match="duplicate seq in case 1"):
+        tr.transcript_parts(spark.createDataFrame(rows + rows[:1], SCHEMA)).collect()
+
+
+def test_a_case_of_many_lines_is_one_text(spark):
+    n = 25_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("case_id"), (n - F.col("id")).alias("seq"), F.lit("orchestrator").alias("speaker"),
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("content"),
+    )
+    got = tr.assemble_transcripts(rows).collect()
+    assert [(r.case_id, r.n_lines) for r in got] == [(1, n)]
+    assert got[0].transcript == "\n".join(f"[orchestrator] line {i}" for i in reversed(range(n)))
+
+
+def test_many_workers_are_one_manifest(spark):
+    n = 10_001
+    log = spark.range(n).select(F.col("id").alias("reg_seq"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("name"), F.lit("d").alias("description"))
+    view = registry.registry_view(log)
+    text = spark.range(1).select(registry.manifest_text(view).alias("m")).first().m
+    assert text == "\n".join(f"- w{i}: d" for i in range(n))
+
+
 def test_two_rows_at_one_place_fail(spark):
     rows = [(1, 0, "a", "x"), (1, 0, "b", "y")]
     with pytest.raises(PySparkException, match="duplicate seq in case 1"):
