@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import first_match
 from .registry import with_known_worker
-from .skew import WIDE_ROWS_PER_CHUNK, OrderedLog
+from .skew import WIDE_ROWS_PER_CHUNK, OrderedLog, row_hash
 
 NO_LEDGER = "(none)"
 STEP = r"(?s)^\[([^\]]+)\]\s*(.*)$"
@@ -64,6 +64,15 @@ def revision_delta(
     )
 
 
+def latest_ledgers(ledgers: DataFrame, case: str = "case_id", revision: str = "revision") -> DataFrame:
+    """The row of the highest revision per case; among equal revisions the one of a fixed hash.
+
+    Spark drops rows that cannot be the latest before it shuffles them.
+    """
+    order = Window.partitionBy(case).orderBy(F.col(revision).desc(), row_hash(ledgers))
+    return ledgers.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+
+
 def replan_inputs(
     cases: DataFrame, ledgers: DataFrame, case: str = "case_id", revision: str = "revision"
 ) -> DataFrame:
@@ -72,12 +81,12 @@ def replan_inputs(
     A case without a ledger shows ``(none)`` and starts at revision 1; a
     ledger with an empty list shows the empty string.
     """
-    latest = ledgers.groupBy(case).agg(F.max_by(F.struct(revision, "facts", "plan"), revision).alias("_l"))
+    latest = latest_ledgers(ledgers.select(case, revision, "facts", "plan"), case, revision)
     joined = cases.select(case).join(latest, case, "left")
     return joined.select(
         case,
-        F.coalesce(F.array_join("_l.facts", "\n"), F.lit(NO_LEDGER)).alias("current_facts"),
-        F.coalesce(F.array_join("_l.plan", "\n"), F.lit(NO_LEDGER)).alias("current_plan"),
-        (F.coalesce(F.col(f"_l.{revision}"), F.lit(0)) + 1).cast("bigint").alias("next_revision"),
+        F.coalesce(F.array_join("facts", "\n"), F.lit(NO_LEDGER)).alias("current_facts"),
+        F.coalesce(F.array_join("plan", "\n"), F.lit(NO_LEDGER)).alias("current_plan"),
+        (F.coalesce(F.col(revision), F.lit(0)) + 1).cast("bigint").alias("next_revision"),
     )
 

@@ -9,10 +9,13 @@ chunks that take their starting counters from a table of one row per chunk.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_filled
 from .skew import ROWS_PER_CHUNK, WIDE_ROWS_PER_CHUNK, OrderedLog
+from .transcripts import EMPTY
 
 MAX_STALLS = 2
 MAX_REPLANS = 2
@@ -68,6 +71,7 @@ def replay_trace(
     seq: str = "seq",
     rows_per_chunk: int = ROWS_PER_CHUNK,
     counts_from: DataFrame | None = None,
+    payload: Sequence[str] = (),
 ) -> DataFrame:
     """Route and counters of every step: ``case, seq, route, stall_count, replan_count``.
 
@@ -76,10 +80,11 @@ def replay_trace(
     ``replan``, ``finalize:satisfied``, ``finalize:budget``, and
     ``after_terminal`` for steps logged after a case ended. Counters are those
     after the step, null after the end. ``counts_from``: see ``OrderedLog.of``.
+    ``payload`` names further columns that go through the one shuffle.
     """
     flags = ["is_request_satisfied", "is_in_loop", "is_progress_being_made", "known_speaker"]
     log = OrderedLog.of(
-        steps.select(case, seq, *flags), case, seq, rows_per_chunk=rows_per_chunk, counts_from=counts_from
+        steps.select(case, seq, *flags, *payload), case, seq, rows_per_chunk=rows_per_chunk, counts_from=counts_from
     )
     limit = max(max_stalls, 1)
     order = log.window()
@@ -131,6 +136,7 @@ def replay_trace(
         route.alias("route"),
         F.when(~over, stall).cast("bigint").alias("stall_count"),
         F.when(~over, F.least("_asked", F.lit(max_replans))).cast("bigint").alias("replan_count"),
+        *payload,
     )
 
 
@@ -154,22 +160,27 @@ def replay_summary(trace: DataFrame, case: str = "case_id", seq: str = "seq") ->
 
 
 def run_summary(
-    summary: DataFrame, answers: DataFrame, transcript: DataFrame, case: str = "case_id"
+    summary: DataFrame, answers: DataFrame, transcripts: DataFrame, ledgers: DataFrame, case: str = "case_id"
 ) -> DataFrame:
-    """Per replayed case: its answer or the default, transcript rows and counters.
+    """Per replayed case: its answer or the default, transcript, latest ledger and counters.
 
-    The default stands only for a case without an answer row. Transcripts are
-    counted here; their texts come from ``assemble_transcripts``.
+    The default stands only for a case without an answer row. ``transcripts``
+    are those of ``assemble_transcripts``, ``ledgers`` those of
+    ``latest_ledgers``, one row per case each. A case without lines has the
+    transcript ``(empty)``, one without a ledger null in its place.
     """
-    rows = transcript.groupBy(case).agg(F.count(F.lit(1)).alias("_rows"))
+    ledger = ledgers.select(case, F.struct(*[c for c in ledgers.columns if c != case]).alias("task_ledger"))
     given = answers.select(case, "final_answer", F.lit(True).alias("_given"))
     return (
         summary.join(given, case, "left")
-        .join(rows, case, "left")
+        .join(transcripts.select(case, "n_lines", "transcript"), case, "left")
+        .join(ledger, case, "left")
         .select(
             case,
             F.when(F.col("_given"), F.col("final_answer")).otherwise(NO_ANSWER).alias("summary"),
-            F.coalesce("_rows", F.lit(0)).alias("n_transcript_rows"),
+            F.coalesce("n_lines", F.lit(0)).alias("n_transcript_rows"),
+            F.coalesce("transcript", F.lit(EMPTY)).alias("transcript"),
+            "task_ledger",
             "replan_count",
             "stall_count",
             "outcome",

@@ -474,17 +474,28 @@ ORACLES: dict[str, str] = {
     "replay_trace_chunked": REPLAY_TRACE,
     "stream_replay": REPLAY_TRACE,
     "replay_summary": f"{TRACE} SELECT * FROM summary",
-    "run_summary": f"""{TRACE},
-        counted AS (
-          SELECT t.case_id, 2 * count(*) AS n FROM trace t JOIN steps s ON s.case_id = t.case_id AND s.seq = t.seq
-          WHERE t.route = 'dispatch' AND s.instruction <> '' GROUP BY t.case_id)
+    "run_summary": f"""{TRACE}, {CASES}, {LEDGERS},
+        latest AS (SELECT * FROM ledgers QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY revision DESC) = 1),
+        sent AS (
+          SELECT t.case_id, t.seq, s.next_speaker, s.instruction, s.reply
+          FROM trace t JOIN steps s ON s.case_id = t.case_id AND s.seq = t.seq WHERE t.route = 'dispatch' AND s.instruction <> ''),
+        said AS (
+          SELECT case_id, 2 * seq AS place, '[orchestrator] -> ' || next_speaker || ': ' || instruction AS line FROM sent
+          UNION ALL
+          SELECT case_id, 2 * seq + 1, '[' || next_speaker || '] ' || {wrap('reply', text('worker'))} FROM sent),
+        told AS (SELECT case_id, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS transcript FROM said GROUP BY case_id),
+        asked AS (
+          SELECT u.*, told.n, told.transcript, {filled(FINAL_TEMPLATE, {
+              'task': "coalesce(c.task, 'case ' || u.case_id)", 'transcript': "coalesce(told.transcript, '(empty)')"})} AS prompt
+          FROM summary u LEFT JOIN cases c ON c.case_id = u.case_id LEFT JOIN told ON told.case_id = u.case_id)
         SELECT u.case_id,
                CASE WHEN outcome = 'open' THEN '(no answer produced)' WHEN s.final_answer <> '' THEN s.final_answer
                     ELSE trim({stub_reply('prompt')}, chr(10) || ' ') END AS summary,
-               coalesce(c.n, 0) AS n_transcript_rows, replan_count, stall_count, outcome
-        FROM (SELECT *, {filled(FINAL_TEMPLATE, {'task': "'case ' || case_id", 'transcript': "'(empty)'"})} AS prompt FROM summary) u
-        LEFT JOIN steps s ON s.case_id = u.case_id AND s.seq = u.ended_at
-        LEFT JOIN counted c ON c.case_id = u.case_id""",
+               coalesce(u.n, 0) AS n_transcript_rows, coalesce(u.transcript, '(empty)') AS transcript,
+               replan_count, stall_count, outcome, l.revision,
+               array_to_string(l.facts, '|') AS facts, array_to_string(l.plan, '|') AS plan
+        FROM asked u LEFT JOIN steps s ON s.case_id = u.case_id AND s.seq = u.ended_at
+        LEFT JOIN latest l ON l.case_id = u.case_id""",
     "stall_runs": STALL_RUNS,
     "stall_runs_chunked": STALL_RUNS,
     "loop_detect": LOOPS,
@@ -534,8 +545,12 @@ ORACLES: dict[str, str] = {
             'current_plan': "coalesce(array_to_string(latest.plan, chr(10)), '(none)')",
             'transcript': "coalesce(told.transcript, '(empty)')"})} AS prompt
         FROM customer LEFT JOIN latest ON latest.case_id = c_custkey LEFT JOIN told ON told.case_id = c_custkey, shown""",
-    "final_answers": f"""WITH {ANSWERS}, asked AS (
-          SELECT *, {filled(FINAL_TEMPLATE, {'task': 'final_answer', 'transcript': "'(empty)'"})} AS prompt FROM answers)
+    "final_answers": f"""WITH {ANSWERS}, {CASES}, {TRANSCRIPT}, {LINES},
+        told AS (SELECT case_id, string_agg(line, chr(10) ORDER BY seq) AS transcript FROM lines GROUP BY case_id),
+        asked AS (
+          SELECT a.*, {filled(FINAL_TEMPLATE, {
+              'task': "coalesce(c.task, 'case ' || a.case_id)", 'transcript': "coalesce(told.transcript, '(empty)')"})} AS prompt
+          FROM answers a LEFT JOIN cases c ON c.case_id = a.case_id LEFT JOIN told ON told.case_id = a.case_id)
         SELECT case_id,
                CASE WHEN final_answer LIKE '%(by user)' THEN trim({stub_reply('prompt')}, chr(10) || ' ') ELSE final_answer END AS final_answer,
                CASE WHEN final_answer LIKE '%(by user)' THEN 'model' ELSE 'given' END AS origin

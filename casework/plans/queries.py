@@ -274,25 +274,31 @@ def replay_summary(t: Caseload) -> DataFrame:
     return replay.replay_summary(_trace(t, _known_steps(t)))
 
 
-def _synthesis(t: Caseload, summary: DataFrame, steps: DataFrame) -> DataFrame:
-    """Ended cases with the answer their last step gave, and the request for those without."""
-    ended = summary.where(F.col("outcome") != "open").select("case_id", F.col("ended_at").alias("seq"))
-    last = ended.join(steps.select("case_id", "seq", "final_answer"), ["case_id", "seq"])
-    task = F.concat(F.lit("case "), F.col("case_id").cast("string"))
-    prompt = prompts.render(prompts.FINAL_TEMPLATE, {"task": task, "transcript": F.lit(tr.EMPTY)})
-    return prompts.supervisor_requests(last, prompt, DEFAULT_MODEL).drop("seq")
+def _closing(t: Caseload, cases: DataFrame, texts: DataFrame) -> DataFrame:
+    """``case_id, final_answer`` with the request that closes a case: its task and its transcript."""
+    told = cases.join(t.cases().select("case_id", "task"), "case_id", "left").join(
+        texts.select("case_id", "transcript"), "case_id", "left"
+    )
+    task = F.coalesce("task", F.concat(F.lit("case "), F.col("case_id").cast("string")))
+    values = {"task": task, "transcript": F.coalesce("transcript", F.lit(tr.EMPTY))}
+    asked = prompts.supervisor_requests(told, prompts.render(prompts.FINAL_TEMPLATE, values), DEFAULT_MODEL)
+    return asked.select("case_id", "final_answer", "model_id", "messages")
 
 
 @query
 def run_summary(t: Caseload) -> DataFrame:
-    steps = _known_steps(t)
-    trace = _trace(t, steps)
-    summary = replay.replay_summary(trace)
-    answers = scoring.final_answers(_synthesis(t, summary, steps), stub_model)
-    routed = trace.join(steps.select("case_id", "seq", "instruction"), ["case_id", "seq"])
-    sent = routed.where(replay.with_instruction(F.col("route"), F.col("instruction")))
-    rows = sent.select("case_id", F.explode(F.array(F.lit("order"), F.lit("reply"))).alias("row"))
-    return replay.run_summary(summary, answers, rows)
+    """What a run returns; the payload of the steps goes through the replay's one shuffle."""
+    trace = _trace(t, _known_steps(t), payload=("next_speaker", "instruction", "reply", "final_answer"))
+    sent = trace.where(replay.with_instruction(F.col("route"), F.col("instruction")))
+    texts = tr.assemble_transcripts(tr.step_rows(sent))
+    ended = trace.where(F.col("route").startswith("finalize")).select("case_id", "final_answer")
+    answers = scoring.final_answers(_closing(t, ended, texts), stub_model)
+    ran = replay.run_summary(replay.replay_summary(trace), answers, texts, ledgers.latest_ledgers(_ledgers(t)))
+    return ran.select(
+        *[c for c in ran.columns if c != "task_ledger"],
+        "task_ledger.revision",
+        *[F.array_join(f"task_ledger.{c}", "|").alias(c) for c in ("facts", "plan")],
+    )
 
 
 @query
@@ -433,14 +439,10 @@ def batch_score(t: Caseload) -> DataFrame:
 def final_answers(t: Caseload) -> DataFrame:
     """Cases that end with a user's question have no answer yet and go to the model."""
     spoke_last = F.col("final_answer").endswith("(by user)")
-    open_cases = t.answers().select(
-        "case_id",
-        F.when(~spoke_last, F.col("final_answer")).alias("final_answer"),
-        F.col("final_answer").alias("question"),
-    )
-    prompt = prompts.render(prompts.FINAL_TEMPLATE, {"task": F.col("question"), "transcript": F.lit(tr.EMPTY)})
-    asked = prompts.supervisor_requests(open_cases, prompt, DEFAULT_MODEL)
-    return scoring.final_answers(asked, stub_model).select("case_id", "final_answer", "origin")
+    cases = t.answers().select("case_id", F.when(~spoke_last, F.col("final_answer")).alias("final_answer"))
+    asked = cases.where(F.col("final_answer").isNull()).select("case_id")
+    texts = tr.assemble_transcripts(t.transcript().join(asked, "case_id", "left_semi"))
+    return scoring.final_answers(_closing(t, cases, texts), stub_model).select("case_id", "final_answer", "origin")
 
 
 @query

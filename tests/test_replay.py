@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from casework.operators import replay, scoring
+from casework.operators import ledgers, replay, scoring
 
 STEP = (
     "case_id long, seq long, is_request_satisfied boolean, is_in_loop boolean, is_progress_being_made boolean, "
@@ -130,10 +130,13 @@ def test_summary_and_run_summary(spark):
     assert (got[3]["outcome"], got[3]["replan_count"], got[3]["stall_count"]) == ("finalize:budget", 2, 2)
 
     answers = spark.createDataFrame([(1, "Cleared."), (3, None)], "case_id long, final_answer string")
-    transcript = spark.createDataFrame([(1, 0), (1, 1)], "case_id long, seq long")
-    rows = {r.case_id: r for r in replay.run_summary(summary, answers, transcript).collect()}
-    assert (rows[1].summary, rows[1].n_transcript_rows) == ("Cleared.", 2)
-    assert (rows[2].summary, rows[2].n_transcript_rows) == ("(no answer produced)", 0)
+    texts = spark.createDataFrame([(1, 2, "a\nb")], "case_id long, n_lines long, transcript string")
+    plans = spark.createDataFrame([(1, 3, ["f"]), (1, 4, ["g"]), (2, 1, [])], "case_id long, revision long, facts array<string>")
+    ran = replay.run_summary(summary, answers, texts, ledgers.latest_ledgers(plans))
+    rows = {r.case_id: r for r in ran.collect()}
+    assert (rows[1].summary, rows[1].n_transcript_rows, rows[1].transcript) == ("Cleared.", 2, "a\nb")
+    assert (rows[2].summary, rows[2].n_transcript_rows, rows[2].transcript) == ("(no answer produced)", 0, "(empty)")
+    assert tuple(rows[1].task_ledger) == (4, ["g"]) and tuple(rows[2].task_ledger) == (1, []) and rows[3].task_ledger is None
     # An answer row stands even when it is null.
     assert rows[3].summary is None
 
