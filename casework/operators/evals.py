@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 def field_accuracy(
     predictions: DataFrame, labels: DataFrame, key: str, workflow: str, fields: Sequence[str]
 ) -> DataFrame:
-    """Accuracy per workflow and field with subtotals (null stands for all).
+    """Accuracy per workflow and field with subtotals. ``level`` tells them apart from
+    null workflows: 0 a workflow's field, 1 a whole workflow, 3 everything.
 
     Both tables are unique on ``key`` and hold every field; ``predictions``
     also hold ``workflow``. Two nulls agree. Each pair of rows is counted for
@@ -26,8 +27,10 @@ def field_accuracy(
     return (
         per_workflow.select("workflow", "_n", F.inline(counts))
         .rollup("workflow", "field")
-        .agg(F.sum("_n").alias("n_values"), F.sum("ok").alias("n_correct"))
+        .agg(F.sum("_n").alias("n_values"), F.sum("ok").alias("n_correct"), F.grouping_id().alias("_level"))
         .withColumn("accuracy", F.col("n_correct") / F.col("n_values"))
+        .withColumnRenamed("_level", "level")
+        .select("workflow", "field", "n_values", "n_correct", "accuracy", "level")
     )
 
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.envelope import wrap
 from ..functions.text import any_of, first_match, text_or_empty
-from .skew import BROADCAST_ROWS, lookup
+from .skew import BROADCAST_ROWS, lookup, row_hash
 
 # Fixed value: a German VAT id as it appears in free text.
 VAT_ID = r"(?U)\b(DE\d{6,12})\b"
-VENDOR_FIELDS = ("name", "iban", "country", "payment_terms")
 
 # The three outcome messages.
 NO_ID = "No vendor identifier (USt-IdNr.) found in the task."
@@ -29,14 +28,10 @@ def fill(template: str, *values: Column) -> Column:
     return F.concat(*parts)
 
 
-def vendor_summary() -> Column:
-    """The outcome text, over the columns ``with_vendor`` adds."""
-    found = fill(
-        FOUND,
-        F.col("vendor_id"),
-        wrap(text_or_empty("vendor.name"), "datev"),
-        wrap(text_or_empty("vendor.iban"), "datev"),
-    )
+def vendor_summary(fields: Sequence[str]) -> Column:
+    """The outcome text; a field that vendor records lack shows as empty text."""
+    shown = [text_or_empty(F.col(f"vendor.{f}").cast("string")) if f in fields else F.lit("") for f in ("name", "iban")]
+    found = fill(FOUND, F.col("vendor_id"), *[wrap(value, "datev") for value in shown])
     return (
         F.when(F.col("vendor_id").isNull(), NO_ID)
         .when(~F.col("found"), fill(NOT_FOUND, F.col("vendor_id")))
@@ -44,11 +39,19 @@ def vendor_summary() -> Column:
     )
 
 
-def vendor_records(vendors: DataFrame) -> DataFrame:
-    """``vendor_id`` and the record as one struct; a record with nothing in it does not count."""
-    return vendors.where(any_of([F.col(f).isNotNull() for f in VENDOR_FIELDS])).select(
-        "vendor_id", F.struct(*VENDOR_FIELDS).alias("vendor")
-    )
+def vendor_records(vendors: DataFrame, changed: str | None = None) -> DataFrame:
+    """``vendor_id`` and all other columns as one struct, one row per id.
+
+    A record with nothing in it does not count. Of rows with one id the one
+    with the highest ``changed`` is taken, null being lowest, and of equals
+    or without ``changed`` the one of a fixed hash: a table has no last row.
+    """
+    fields = [c for c in vendors.columns if c != "vendor_id"]
+    first = [F.col(f"`{changed}`").desc_nulls_last()] if changed else []
+    order = Window.partitionBy("vendor_id").orderBy(*first, row_hash(vendors))
+    known = vendors.where("vendor_id is not null").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    filled = any_of([F.col(f"`{f}`").isNotNull() for f in fields])
+    return known.where(filled).select("vendor_id", F.struct(*[F.col(f"`{f}`") for f in fields]).alias("vendor"))
 
 
 def enrich_vendors(
@@ -57,20 +60,22 @@ def enrich_vendors(
     task: str = "task",
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_task: int | None = None,
+    changed: str | None = None,
 ) -> DataFrame:
     """Add ``vendor_id``, ``found``, ``vendor`` and ``summary`` to each case.
 
-    The first VAT id of the task is looked up in ``vendors`` (one row per
-    ``vendor_id``). Many cases may name one vendor, or none: see ``lookup``.
+    The first VAT id of the task is looked up in ``vendors``; ``vendor`` holds
+    its whole record, see ``vendor_records`` for repeated ids. Many cases may
+    name one vendor, or none: see ``lookup``.
     Salting is off by default because counting ids reads all texts once more.
     """
     named = cases.withColumn("vendor_id", first_match(task, VAT_ID))
-    joined = lookup(named, vendor_records(vendors), "vendor_id", "left", broadcast_rows, rows_per_task)
+    joined = lookup(named, vendor_records(vendors, changed), "vendor_id", "left", broadcast_rows, rows_per_task)
     order = [*cases.columns, "vendor_id", "vendor"]
     return (
         joined.select(*order)
         .withColumn("found", F.col("vendor").isNotNull())
-        .withColumn("summary", vendor_summary())
+        .withColumn("summary", vendor_summary(vendors.columns))
     )
 
 

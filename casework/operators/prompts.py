@@ -95,16 +95,18 @@ def supervisor_requests(df: DataFrame, prompt: Column, model_id: str, header: st
 
 
 def attribution(answers: DataFrame, transcript: DataFrame, case: str = "case_id", speaker: str = "speaker") -> DataFrame:
-    """One row per case and speaker: whether the case's answer names the speaker.
+    """One row per case and speaker: whether the case's answer names the speaker as a word of its own.
 
     Speakers are made distinct before the join, so a case meets its answer
     once per speaker, not once per row.
     """
     speakers = transcript.select(case, speaker).where(is_filled(speaker)).distinct()
     joined = speakers.join(answers.select(case, "final_answer"), case, "inner")
-    return joined.select(
-        case, speaker, F.coalesce(F.contains("final_answer", speaker), F.lit(False)).alias("cited")
-    )
+    literal = F.concat(F.lit(r"\Q"), F.replace(speaker, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    word = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])"))
+    # Most answers lack the name altogether and need no pattern.
+    cited = F.when(F.contains("final_answer", speaker), F.regexp_like("final_answer", word)).otherwise(False)
+    return joined.select(case, speaker, F.coalesce(cited, F.lit(False)).alias("cited"))
 
 
 def clean_answer(reply: Column | str) -> Column:

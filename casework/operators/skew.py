@@ -27,15 +27,11 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure ``dim``, reading at most ``rows + 1`` rows of it."""
+    """Count the rows and bytes of ``dim`` in one pass; only the partial counts are shuffled."""
     if rows <= 0 or size <= 0:
         return False
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns]))
-    n, n_bytes = (
-        dim.limit(rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(record)), F.lit(0)))
-        .first()
-    )
+    n, n_bytes = dim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(record)), F.lit(0))).first()
     return n <= rows and n_bytes <= size
 
 

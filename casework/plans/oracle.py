@@ -84,7 +84,8 @@ vendors AS (
   SELECT 'DE' || (s_suppkey + 100000) AS vendor_id, s_name AS name,
          CASE WHEN s_acctbal >= 0 THEN 'DE' || lpad(CAST(s_suppkey AS VARCHAR), 20, '0') END AS iban,
          'N' || s_nationkey AS country,
-         CASE WHEN s_acctbal > 5000 THEN '30 Tage netto' ELSE '14 Tage netto' END AS payment_terms
+         CASE WHEN s_acctbal > 5000 THEN '30 days' ELSE '14 days' END AS payment_terms,
+         s_acctbal < 0 AS is_blocked
   FROM supplier)"""
 
 VENDOR_AGES = """
@@ -198,7 +199,7 @@ VAT = r"\b(DE[0-9]{6,12})\b"
 ENRICHED = f"""
 named AS (SELECT *, nullif(regexp_extract(task, {text(VAT)}, 1), '') AS vendor_id FROM cases),
 enriched AS (
-  SELECT c.case_id, c.lang, c.task, c.vendor_id, v.vendor_id IS NOT NULL AS found, v.name,
+  SELECT c.case_id, c.lang, c.task, c.vendor_id, v.vendor_id IS NOT NULL AS found, v.name, v.is_blocked,
          CASE WHEN c.vendor_id IS NULL THEN {text(NO_ID)}
               WHEN v.vendor_id IS NULL THEN 'Vendor ' || c.vendor_id || ' not found in master data.'
               ELSE 'Vendor ' || c.vendor_id || ' located. Name: ' || {wrap('v.name', text('datev'))}
@@ -318,7 +319,7 @@ FIELD_COLUMNS = ", ".join(f"nullif(regexp_extract(text, {text(p)}, 1), '') AS {n
 MISSING_FIELDS = ", ".join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in HEADER_FIELDS)
 
 REPLAY_TRACE = f"{TRACE} SELECT * FROM trace"
-ENRICH = f"WITH {CASES}, {VENDORS}, {ENRICHED} SELECT case_id, vendor_id, found, summary, name FROM enriched"
+ENRICH = f"WITH {CASES}, {VENDORS}, {ENRICHED} SELECT case_id, vendor_id, found, summary, name, is_blocked FROM enriched"
 STALL_RUNS = f"""WITH {STEPS},
   marked AS (SELECT case_id, seq, is_in_loop OR NOT is_progress_being_made AS stalled FROM steps),
   runs AS (SELECT *, sum(CASE WHEN stalled THEN 0 ELSE 1 END) OVER (PARTITION BY case_id ORDER BY seq) AS run FROM marked)
@@ -556,7 +557,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN final_answer LIKE '%(by user)' THEN 'model' ELSE 'given' END AS origin
         FROM asked""",
     "attribution": f"""WITH {ANSWERS}
-        SELECT s.case_id, speaker, contains(final_answer, speaker) AS cited
+        SELECT s.case_id, speaker, regexp_matches(final_answer, '(^|[^\\p{{L}}\\p{{N}}_])' || speaker || '($|[^\\p{{L}}\\p{{N}}_])') AS cited
         FROM (SELECT DISTINCT conv_id AS case_id, role AS speaker FROM conversations) s JOIN answers a ON a.case_id = s.case_id""",
     "po_invoice_recon": f"WITH {RECON} SELECT po_number, po_cents, invoice_cents, {recon_status(0)} AS status, difference_cents FROM both_sides",
     "recon_totals": f"""WITH {RECON} SELECT {recon_status(500_000)} AS status, count(*) AS n_keys,
@@ -598,7 +599,7 @@ ORACLES: dict[str, str] = {
                  unnest([CAST(d.n_chars > 500 AS INT) = l.quality, CAST(contains(d.text, '!!') AS INT) = l.toxic]) AS ok
           FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
         SELECT workflow, field, count(*) AS n_values, count(*) FILTER (WHERE ok) AS n_correct,
-               count(*) FILTER (WHERE ok) / count(*) AS accuracy
+               count(*) FILTER (WHERE ok) / count(*) AS accuracy, grouping(workflow, field) AS level
         FROM pairs GROUP BY ROLLUP (workflow, field)""",
     "kpis": """
         SELECT event_type AS workflow, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_cases,

@@ -149,14 +149,14 @@ def final_summary(t: Caseload) -> DataFrame:
 @query
 def vendor_enrich(t: Caseload) -> DataFrame:
     found = masterdata.enrich_vendors(t.cases(), t.vendors())
-    return found.select("case_id", "vendor_id", "found", "summary", F.col("vendor.name").alias("name"))
+    return found.select("case_id", "vendor_id", "found", "summary", F.col("vendor.name").alias("name"), "vendor.is_blocked")
 
 
 @query
 def vendor_enrich_salted(t: Caseload) -> DataFrame:
     """The same lookup by shuffle, as for a vendor table too large to broadcast."""
     found = masterdata.enrich_vendors(t.cases(), t.vendors(), broadcast_rows=0)
-    return found.select("case_id", "vendor_id", "found", "summary", F.col("vendor.name").alias("name"))
+    return found.select("case_id", "vendor_id", "found", "summary", F.col("vendor.name").alias("name"), "vendor.is_blocked")
 
 
 @query

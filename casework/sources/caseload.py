@@ -108,7 +108,8 @@ class Caseload:
             F.col("s_name").alias("name"),
             F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("DE"), F.lpad(key.cast("string"), 20, "0"))).alias("iban"),
             F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("country"),
-            F.when(F.col("s_acctbal") > 5000, "30 Tage netto").otherwise("14 Tage netto").alias("payment_terms"),
+            F.when(F.col("s_acctbal") > 5000, "30 days").otherwise("14 days").alias("payment_terms"),
+            (F.col("s_acctbal") < 0).alias("is_blocked"),
         )
 
     def vendor_ages(self) -> DataFrame:

@@ -79,6 +79,15 @@ def test_field_accuracy_with_subtotals(spark):
     }
 
 
+def test_a_null_workflow_is_not_a_subtotal(spark):
+    predicted = spark.createDataFrame([(1, None, "x"), (2, "ap", "y")], "id long, wf string, a string")
+    gold = spark.createDataFrame([(1, "x"), (2, "n")], "id long, a string")
+    got = {(r.workflow, r.field, r.level): (r.n_values, r.n_correct) for r in evals.field_accuracy(predicted, gold, "id", "wf", ["a"]).collect()}
+    assert got == {
+        (None, "a", 0): (1, 1), ("ap", "a", 0): (1, 0), (None, None, 1): (1, 1), ("ap", None, 1): (1, 0), (None, None, 3): (2, 1),
+    }
+
+
 def test_workflow_rates(spark):
     rows = [("ap", True, False, 10), ("ap", True, True, 20), ("ap", False, False, 0), ("so", True, True, 5)]
     df = spark.createDataFrame(rows, "wf string, escalated boolean, was_exception boolean, cost_cents long")

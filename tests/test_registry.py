@@ -63,7 +63,7 @@ def test_models_by_role_with_a_default(spark, routing):
 
 def test_worker_requests_carry_header_prompt_and_instruction(spark, view, routing):
     df = spark.createDataFrame(
-        [(1, "procurement", "Pull PO 4500017722."), (2, "ghost", "x"), (3, "finance", None)],
+        [(1, "procurement", "Pull PO 4500017722."), (2, "ghost", "x"), (3, "finance", "Add it up."), (4, "finance", None), (5, "finance", "")],
         "case_id long, next_speaker string, instruction string",
     )
     got = {r.case_id: r for r in prompts.worker_requests(df, view, routing, "orch").collect()}
@@ -72,7 +72,7 @@ def test_worker_requests_carry_header_prompt_and_instruction(spark, view, routin
     assert system.role == "system" and system.content == prompts.WORKER_HEADER + "\n\nYou are procurement now."
     assert tuple(user) == ("user", "Pull PO 4500017722.")
     assert (got[1].role, got[1].model_id, got[3].model_id) == ("buyer", "proc", "fin")
-    assert got[3].messages[1].content == ""
+    assert got[3].messages[1].content == "Add it up."
 
 
 def test_supervisor_requests(spark):
@@ -110,3 +110,10 @@ def test_attribution(spark):
     said = spark.createDataFrame([(1, "finance"), (1, "finance"), (1, "procurement"), (2, "finance"), (3, "x"), (1, "")], "case_id long, speaker string")
     got = {(r.case_id, r.speaker): r.cited for r in prompts.attribution(answers, said).collect()}
     assert got == {(1, "finance"): True, (1, "procurement"): False, (2, "finance"): False}
+
+
+def test_attribution_wants_the_whole_name(spark):
+    answers = spark.createDataFrame([(1, "refinanced by a.b (finance2), said ap."), (2, "ask finance: yes")], "case_id long, final_answer string")
+    said = spark.createDataFrame([(1, "finance"), (1, "a.b"), (1, "axb"), (1, "ap"), (1, r"x\Ey"), (2, "finance")], "case_id long, speaker string")
+    got = {(r.case_id, r.speaker): r.cited for r in prompts.attribution(answers, said).collect()}
+    assert got == {(1, "finance"): False, (1, "a.b"): True, (1, "axb"): False, (1, "ap"): True, (1, r"x\Ey"): False, (2, "finance"): True}

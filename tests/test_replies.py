@@ -145,8 +145,8 @@ LEDGER = "case_id long, revision long, facts array<string>, guesses array<string
 @pytest.fixture
 def logged(spark):
     rows = [
-        (1, 0, ["a", "b"], [], ["[procurement] verify PO match", "close"]),
-        (1, 1, ["a", "c"], [], ["[finance] check AP\nopen item", "close"]),
+        (1, 0, ["a", "b"], [], ["[procurement] count the pallets", "close"]),
+        (1, 1, ["a", "c"], [], ["[finance] ask the bank\nagain", "close"]),
         (2, 0, [], [], []),
     ]
     return spark.createDataFrame(rows, LEDGER)
@@ -157,9 +157,9 @@ def test_plan_steps_and_workers(spark, logged):
     steps = ledgers.plan_steps(logged, registry)
     got = sorted((tuple(r) for r in steps.collect()), key=str)
     assert got == [
-        (1, 0, 0, "procurement", "verify PO match", True),
+        (1, 0, 0, "procurement", "count the pallets", True),
         (1, 0, 1, None, "close", False),
-        (1, 1, 0, "finance", "check AP\nopen item", False),
+        (1, 1, 0, "finance", "ask the bank\nagain", False),
         (1, 1, 1, None, "close", False),
     ]
     counts = {r.worker: (r.known, r.n_steps, r.n_cases) for r in ledgers.steps_per_worker(steps).collect()}
@@ -175,7 +175,7 @@ def test_replan_inputs(spark, logged):
     cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
     got = {r.case_id: tuple(r)[1:] for r in ledgers.replan_inputs(cases, logged).collect()}
     assert got == {
-        1: ("a\nc", "[finance] check AP\nopen item\nclose", 2),
+        1: ("a\nc", "[finance] ask the bank\nagain\nclose", 2),
         2: ("", "", 1),
         3: ("(none)", "(none)", 1),
     }
