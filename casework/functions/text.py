@@ -45,7 +45,3 @@ def count_matches(c: Column | str, pattern: str) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

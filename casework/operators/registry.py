@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_filled, text_or_empty
 from .skew import BROADCAST_ROWS, ROWS_PER_CHUNK, lookup
@@ -18,10 +18,11 @@ def registry_view(log: DataFrame) -> DataFrame:
     first. A worker without a role has its name as role.
     """
     fields = [c for c in WORKER_FIELDS if c in log.columns]
-    view = log.groupBy("name").agg(
-        F.min("reg_seq").alias("position"), F.max_by(F.struct("reg_seq", *fields), "reg_seq").alias("_last")
+    named = Window.partitionBy("name")
+    places = log.select("name", "reg_seq", *fields).withColumns(
+        {"position": F.min("reg_seq").over(named), "_place": F.row_number().over(named.orderBy(F.col("reg_seq").desc()))}
     )
-    view = view.select("name", "position", *[F.col(f"_last.{f}").alias(f) for f in fields])
+    view = places.where("_place = 1").select("name", "position", *fields)
     role = F.col("role") if "role" in fields else F.lit(None).cast("string")
     return view.withColumn("role", F.when(is_filled(role), role).otherwise(F.col("name")))
 

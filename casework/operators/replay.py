@@ -105,8 +105,7 @@ def replay_trace(
     run = F.col("_at") - 1 - F.coalesce("_restart", F.lit(0))
     if log.chunks:
         carry = _chunk_carry(log.with_df(rows.withColumn("_asks", asks(run))), limit, max_replans)
-        # A left join, as rows without a case find no carry and need none.
-        rows = rows.join(carry, log.group, "left")
+        rows = log.with_carry(rows, carry)
         run = F.when(F.col("_restart").isNull(), run + F.coalesce("_run_in", F.lit(0))).otherwise(run)
         asked_in, over_in = F.coalesce("_asked_in", F.lit(0)), F.coalesce("_over_in", F.lit(False))
     else:

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.text import any_of
 
 # Up to this many hot keys are held on the driver and broadcast (a few dozen
-# bytes each); beyond it the same table is joined by shuffle.
+# bytes each); beyond it the same table is joined by shuffle, with every key
+# spread over this many salts.
 MAX_LISTED_KEYS = 100_000
+LISTED_SALTS = 256
 ROWS_PER_CHUNK = 1_000_000
 # The same for rows that carry texts or lists.
 WIDE_ROWS_PER_CHUNK = 100_000
+# Ranges that one round cuts a key into at most; rounds go on until all fit.
 MAX_CHUNKS = 4_096
-CUT_ROUNDS = 3
 # Bounds under which a dimension is broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -41,14 +43,43 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
-def _listed(stats: DataFrame) -> tuple[DataFrame, bool]:
-    """A small aggregated table as a local one; the flag says whether it has rows."""
-    rows = stats.limit(MAX_LISTED_KEYS + 1).collect()
-    if not rows:
-        return stats, False
-    if len(rows) > MAX_LISTED_KEYS:
-        return stats, True
-    return F.broadcast(stats.sparkSession.createDataFrame(rows, stats.schema)), True
+def _left(rows: DataFrame, other: DataFrame, keys: Sequence[str], nulls: bool) -> DataFrame:
+    """Left join on ``keys``; with ``nulls`` a null key meets a null key."""
+    if not nulls:
+        return rows.join(other, list(keys), "left")
+    renamed = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    met = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_of_{k}`")) for k in keys]
+    return rows.join(renamed, met, "left").drop(*[f"_of_{k}" for k in keys])
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """A table of one row per hot key, and the join that adds it to rows."""
+
+    table: DataFrame
+    keys: tuple[str, ...]
+    listed: bool
+    nulls: bool
+
+    @classmethod
+    def of(cls, stats: DataFrame, keys: Sequence[str]) -> HotKeys | None:
+        """None if ``stats`` has no rows; few rows become a local table."""
+        rows = stats.limit(MAX_LISTED_KEYS + 1).collect()
+        if not rows:
+            return None
+        if len(rows) > MAX_LISTED_KEYS:
+            return cls(stats, tuple(keys), False, not stats.where(any_of([F.col(k).isNull() for k in keys])).isEmpty())
+        nulls = any(r[k] is None for r in rows for k in keys)
+        return cls(F.broadcast(stats.sparkSession.createDataFrame(rows, stats.schema)), tuple(keys), True, nulls)
+
+    def added_to(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the columns of their hot key, null for other keys."""
+        if self.listed:
+            return _left(rows, self.table, self.keys, self.nulls)
+        # Too many to broadcast: a shuffle on the key alone would bring its rows together.
+        copies = self.table.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(LISTED_SALTS - 1))))
+        salted = rows.withColumn("_spread", F.pmod(row_hash(rows), F.lit(LISTED_SALTS)).cast("int"))
+        return _left(salted, copies, [*self.keys, "_spread"], self.nulls).drop("_spread")
 
 
 def lookup(
@@ -78,13 +109,13 @@ def lookup(
 
     hashed = row_hash(facts)
     salt = F.when(any_of([F.col(k).isNull() for k in keys]), F.pmod(hashed, F.lit(1 << 20)))
-    salts, any_hot = None, False
+    hot = None
     if rows_per_task is not None:
         counts = facts.na.drop(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         n_salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
-        salts, any_hot = _listed(counts.where(F.col("_n") > rows_per_task).select(*keys, n_salts))
-    if any_hot:
-        facts, dim = facts.join(salts, keys, "left"), dim.join(salts, keys, "left")
+        hot = HotKeys.of(counts.where(F.col("_n") > rows_per_task).select(*keys, n_salts), keys)
+    if hot is not None:
+        facts, dim = hot.added_to(facts), hot.added_to(dim)
         salt = salt.when(F.col("_salts") > 1, F.pmod(hashed, F.col("_salts")))
         copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
         dim = dim.withColumn("_salt", F.explode(copies)).drop("_salts")
@@ -103,8 +134,9 @@ class OrderedLog:
 
     ``chunks`` are extra columns that cut hot keys into consecutive ranges of
     ``seq``; empty when no key is hot, and then every method is one plain
-    window over the key. ``seq`` is an integer column, ``ties`` order rows
-    that share it.
+    window over the key. ``seq`` is an integer column, ``ties`` are integer
+    columns that order rows that share it. A null key is a key like others;
+    ``nulls`` says that it was cut.
     """
 
     df: DataFrame
@@ -112,6 +144,7 @@ class OrderedLog:
     seq: str
     chunks: tuple[str, ...] = ()
     ties: tuple[str, ...] = ()
+    nulls: bool = False
 
     @classmethod
     def of(
@@ -128,34 +161,49 @@ class OrderedLog:
         The look at the data reads ``key`` and ``seq`` only; ``counts_from``
         names a cheaper table with the same or more rows to take it from. The
         cut uses counts and bounds alone, so it is the same on every retry. A
-        chunk still too large, from an uneven ``seq``, is cut again.
+        chunk still too large, from an uneven ``seq``, is cut again; each
+        round at least halves its range. What shares one ``seq`` is cut by
+        ``ties`` and then by a hash of the row, as such rows have no order
+        among themselves; only rows equal in every column stay together.
         """
+        hashed = row_hash(df)
         counted = (df if counts_from is None else counts_from).select(key, seq)
         chunks: list[str] = []
-        for level in range(CUT_ROUNDS):
+        nulls = False
+        while True:
             by = [key, *chunks]
             stats = (
-                counted.where(F.col(key).isNotNull())
-                .groupBy(*by)
+                counted.groupBy(*by)
                 .agg(
                     F.count(F.lit(1)).alias("_n"),
                     F.min(seq).cast("bigint").alias("_lo"),
                     F.max(seq).cast("bigint").alias("_hi"),
                 )
-                .where((F.col("_n") > rows_per_chunk) & (F.col("_hi") > F.col("_lo")))
+                .where(F.col("_n") > rows_per_chunk)
             )
             parts = F.least(F.ceil(F.col("_n") / rows_per_chunk), F.lit(MAX_CHUNKS))
             width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts), F.lit(1)).cast("bigint")
-            hot, any_hot = _listed(stats.select(*by, "_lo", width.alias("_width")))
-            if not any_hot:
+            hot = HotKeys.of(stats.where("_hi > _lo").select(*by, "_lo", width.alias("_width")), by)
+            if hot is None:
                 break
-            name = f"_chunk{level}"
+            name = f"_chunk{len(chunks)}"
             position = F.coalesce(F.expr(f"(cast(`{seq}` as bigint) - _lo) div _width"), F.lit(0))
-            counted, df = (
-                rows.join(hot, by, "left").withColumn(name, position).drop("_lo", "_width") for rows in (counted, df)
-            )
+            counted, df = (hot.added_to(rows).withColumn(name, position).drop("_lo", "_width") for rows in (counted, df))
             chunks.append(name)
-        return cls(df, key, seq, tuple(chunks), tuple(ties))
+            nulls |= hot.nulls
+        flat = HotKeys.of(stats.select(*by, F.ceil(F.col("_n") / rows_per_chunk).cast("bigint").alias("_parts")), by)
+        if flat is not None:
+            df = flat.added_to(df.withColumn("_hash", hashed))
+            for tie in ties:
+                name = f"_chunk{len(chunks)}"
+                place = F.coalesce(F.col(tie).cast("bigint"), F.lit(-1 << 63))
+                df = df.withColumn(name, F.when(F.col("_parts").isNotNull(), place).otherwise(F.lit(0)))
+                chunks.append(name)
+            name = f"_chunk{len(chunks)}"
+            df = df.withColumn(name, F.coalesce(F.pmod("_hash", "_parts"), F.lit(0))).drop("_parts", "_hash")
+            chunks.append(name)
+            nulls |= flat.nulls
+        return cls(df, key, seq, tuple(chunks), tuple(ties), nulls)
 
     def with_df(self, df: DataFrame) -> OrderedLog:
         """The same cut over changed columns or filtered rows."""
@@ -174,6 +222,10 @@ class OrderedLog:
         """Rows of one group in order."""
         return Window.partitionBy(*self.group).orderBy(self.seq, *self.ties)
 
+    def with_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
+        """``rows`` of the log with the columns of a table of one row per group."""
+        return _left(rows, carry, self.group, self.nulls)
+
     def chunk_window(self, backwards: bool = False):
         """All earlier (or later) chunks of a key, over a table of one row per chunk."""
         order = [F.col(c) for c in self.chunks]
@@ -195,7 +247,7 @@ class OrderedLog:
             .withColumn("_carry", agg("_total").over(self.chunk_window()))
             .drop("_total")
         )
-        joined = inside.join(carry, self.group, "left")
+        joined = self.with_carry(inside, carry)
         return self.with_df(joined.withColumn(name, merge(F.col("_carry"), F.col(name))).drop("_carry"))
 
     def running_sum(self, name: str, value: Column, inclusive: bool = True) -> OrderedLog:
@@ -234,6 +286,6 @@ class OrderedLog:
             .withColumn("_carry", nearest("_edge").over(self.chunk_window(backwards=ahead)))
             .drop("_edge")
         )
-        joined = inside.join(carry, self.group, "left")
+        joined = self.with_carry(inside, carry)
         merged = {n: F.when(F.col("_found"), F.col(n)).otherwise(F.col("_carry")[n]) for n in columns}
         return self.with_df(joined.withColumns(merged).drop("_found", "_carry"))

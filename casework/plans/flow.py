@@ -12,10 +12,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.envelope import wrap
-from ..functions.text import is_filled, text_or_empty, total
+from ..functions.text import is_filled, text_or_empty
 
 NOTHING_RAN = "(no crews ran)"
 # Fixed value: the header between a task and the wrapped outputs before it.
@@ -85,6 +85,18 @@ class CaseFlow:
         return df.withColumn("final_summary", F.element_at("outputs", -1)["summary"])
 
 
+def case_changes(cases: DataFrame, results: DataFrame, case: str = "case_id") -> DataFrame:
+    """Cases that the stages lost or doubled: ``case, n_before, n_after``; empty if they kept to the contract.
+
+    Only ids are read and counted; a flow itself runs no such check.
+    """
+    both = cases.select(case, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        results.select(case, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    counted = both.groupBy(case).agg(F.sum("_a").alias("n_before"), F.sum("_b").alias("n_after"))
+    return counted.where("n_before <> n_after")
+
+
 def output_rows(results: DataFrame, case: str = "case_id") -> DataFrame:
     """The outputs of a flow as a long table: ``case, step, name, summary, data``.
 
@@ -101,47 +113,53 @@ def append_outputs(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def prior_contexts(outputs: DataFrame, n_steps: int, case: str = "case_id", source: str = "worker") -> DataFrame:
-    """What each step of a long output table saw: ``case, step, name, prior``.
+def row_priors(results: DataFrame, case: str = "case_id", source: str = "worker") -> DataFrame:
+    """What each step of a flow saw: ``case, step, name, prior``, from the row that holds the case."""
+    held = results.select(
+        case,
+        F.transform("outputs", lambda o: o["name"]).alias("_names"),
+        F.transform("outputs", lambda o: prior_entry(o["name"], o["summary"], source)).alias("_entries"),
+    )
+    seen = F.transform(
+        "_names",
+        lambda name, i: F.struct(
+            i.cast("bigint").alias("step"), name.alias("name"), F.array_join(F.slice("_entries", F.lit(1), i), "\n\n").alias("prior")
+        ),
+    )
+    return held.select(case, F.explode_outer(seen).alias("_r")).select(case, "_r.step", "_r.name", "_r.prior")
+
+
+def prior_contexts(outputs: DataFrame, case: str = "case_id", source: str = "worker") -> DataFrame:
+    """The same from a long output table, whatever the number of steps.
 
-    A flow has a known number of steps, so a case folds into one row of
-    ``n_steps`` slots by a plain aggregate and the texts are built along the
-    row. Two rows for one step, or a step beyond ``n_steps``, fail the job.
+    Steps are numbers from 0, in order and with gaps if need be. Two rows for
+    one step, or one without a valid step, fail the job.
     """
-    slots = [F.max(F.when(F.col("step") == k, F.struct("name", "summary"))).alias(f"_s{k}") for k in range(n_steps)]
-    twice = [F.count_if(F.col("step") == k).alias(f"_n{k}") for k in range(n_steps)]
-    outside = F.count_if(F.col("step").isNull() | (F.col("step") < 0) | (F.col("step") >= n_steps))
-    folded = outputs.groupBy(case).agg(*slots, *twice, outside.alias("_outside"))
-    faults = total([F.col("_outside"), *[F.greatest(F.col(f"_n{k}") - 1, F.lit(0)) for k in range(n_steps)]])
-    message = F.concat(F.lit("steps not unique or out of range in case "), F.col(case).cast("string"))
-    df = folded.withColumn("_p0", F.when(faults > 0, F.raise_error(message)).otherwise(F.lit("")))
-    for k in range(n_steps - 1):
-        slot = F.col(f"_s{k}")
-        seen = add_prior(F.col(f"_p{k}"), prior_entry(slot["name"], slot["summary"], source))
-        df = df.withColumn(f"_p{k + 1}", F.when(slot.isNotNull(), seen).otherwise(F.col(f"_p{k}")))
-    rows = F.array(
-        *[
-            F.when(
-                F.col(f"_s{k}").isNotNull(),
-                F.struct(
-                    F.lit(k).cast("bigint").alias("step"),
-                    F.col(f"_s{k}")["name"].alias("name"),
-                    F.col(f"_p{k}").alias("prior"),
-                ),
-            )
-            for k in range(n_steps)
-        ]
+    order = Window.partitionBy(case).orderBy("step")
+    step = F.col("step").cast("bigint")
+    rows = outputs.select(case, step.alias("step"), "name", prior_entry(F.col("name"), F.col("summary"), source).alias("_entry"))
+    rows = rows.withColumns(
+        {
+            "_seen": F.collect_list("_entry").over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "_before": F.lag("step").over(order),
+        }
     )
-    exploded = df.select(case, F.explode_outer(rows).alias("_r")).where(F.col("_r").isNotNull())
-    return exploded.select(case, "_r.step", "_r.name", "_r.prior")
+    fault = F.col("step").isNull() | (F.col("step") < 0) | F.col("_before").eqNullSafe(F.col("step"))
+    message = F.concat(F.lit("steps not unique or out of range in case "), F.col(case).cast("string"))
+    prior = F.when(fault, F.raise_error(message)).otherwise(F.array_join("_seen", "\n\n"))
+    return rows.select(case, "step", "name", prior.alias("prior"))
 
 
 def final_summaries(cases: DataFrame, outputs: DataFrame, case: str = "case_id") -> DataFrame:
-    """The last step's summary per case, and how many steps ran."""
-    last = outputs.groupBy(case).agg(
-        F.max_by("summary", "step").alias("final_summary"), F.count(F.lit(1)).alias("n_steps")
-    )
-    return cases.select(case).join(last, case, "left").select(
+    """The last step's summary per case, and how many steps ran.
+
+    Spark drops summaries that cannot be the last before it shuffles them.
+    """
+    order = Window.partitionBy(case).orderBy(F.col("step").desc())
+    last = outputs.select(case, "step", "summary").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    last = last.select(case, F.col("summary").alias("final_summary"))
+    counted = outputs.groupBy(case).agg(F.count(F.lit(1)).alias("n_steps"))
+    return cases.select(case).join(counted, case, "left").join(last, case, "left").select(
         case,
         F.coalesce("n_steps", F.lit(0)).alias("n_steps"),
         F.when(F.col("n_steps").isNull(), NOTHING_RAN).otherwise(F.col("final_summary")).alias("final_summary"),

@@ -6,10 +6,7 @@ the replay, for one, is a step-by-step recursive query here.
 
 from __future__ import annotations
 
-from ..functions.masking import MASKS
-from ..functions.replies import FALSE_WORDS, TRUE_WORDS
 from ..operators.envelopes import INJECTION_PHRASES
-from ..operators.extraction import HEADER_FIELDS
 from ..operators.masterdata import NO_ID
 from ..operators.prompts import (
     FINAL_TEMPLATE,
@@ -23,6 +20,24 @@ from ..sources.caseload import CHANNELS, CLAIM, DEFAULT_MODEL, DESKS, DUNNING_LE
 from .flow import PRIOR_HEADER
 
 
+# What the rules say, written out once more, so that a slip in the code under test shows.
+TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
+FALSE_WORDS = ("0", "f", "false", "n", "no", "off")
+MASKS = (
+    ("email", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b", "<iban>"),
+    ("vat_id", r"\bDE\d{6,12}\b", "<vat_id>"),
+    ("phone", r"\+\d{1,3} ?\(?\d{2,5}\)?[ /-]?\d{3,5}(?:[ -]?\d{2,5})?", "<phone>"),
+)
+HEADER_FIELDS = {
+    "invoice_number": r"(?i)(?:rechnung|invoice)(?:s?(?:nummer|number|nr\.?|no\.?))?[ :#]+([A-Z0-9-]*\d[A-Z0-9-]*)",
+    "invoice_date": r"\b(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4})\b",
+    "supplier": r"(?i)(?:lieferant|supplier)[ :]+([^,;\n]+)",
+    "total": r"(?i)(?:betrag|total|summe)[ :]+(?:EUR ?)?(\d[\d.,]*\d)",
+    "tax_id": r"\b(DE\d{6,12})\b",
+}
+
+
 def text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("'", "''") + "'"
@@ -380,6 +395,11 @@ sent AS (
   FROM dispatches d JOIN workers w ON w.name = d.next_speaker LEFT JOIN routing r ON r.role = w.name
   WHERE d.instruction <> '')"""
 
+PRIORS = f"""WITH {CASES}, {VENDORS}, {ENRICHED}, {FLOW}
+    SELECT case_id, 0::BIGINT AS step, 'stammdaten' AS name, '' AS prior FROM flow
+    UNION ALL SELECT case_id, 1, 'fields', p1 FROM flow
+    UNION ALL SELECT case_id, 2, 'review', p2 FROM flow"""
+
 ORACLES: dict[str, str] = {
     "envelope_documents": f"WITH {TEXTS} SELECT doc_id, source, {wrap('content', 'source')} AS envelope FROM texts",
     "envelope_audit": f"""WITH {TEXTS}, counted AS (SELECT source, {OPEN_HITS} + {CLOSE_HITS} AS forged FROM texts)
@@ -413,18 +433,17 @@ ORACLES: dict[str, str] = {
           WHERE q.role = 'user' AND length(q.text) >= 80)
         SELECT case_id, step * 2 AS seq, 'orchestrator' AS speaker, '-> ' || who || ': ' || instruction AS content FROM sent
         UNION ALL SELECT case_id, step * 2 + 1, who, reply FROM sent""",
-    "prior_context": f"""WITH {CASES}, {VENDORS}, {ENRICHED}, {FLOW}
-        SELECT case_id, 0::BIGINT AS step, 'stammdaten' AS name, '' AS prior FROM flow
-        UNION ALL SELECT case_id, 1, 'fields', p1 FROM flow
-        UNION ALL SELECT case_id, 2, 'review', p2 FROM flow""",
+    "prior_context": PRIORS,
+    "prior_context_log": PRIORS,
     "output_log": f"""WITH {CASES}, {VENDORS}, {ENRICHED}
         SELECT case_id, 0::BIGINT AS step, 'stammdaten' AS name, summary FROM enriched
-        UNION ALL SELECT case_id, 1, 'review', 'Reviewed ' || length(task) || ' characters' FROM cases WHERE lang = 'en'""",
+        UNION ALL SELECT case_id, 1, 'review', 'Reviewed ' || length(task) || ' characters' FROM cases""",
     "composed_task": f"""WITH {CASES}, {VENDORS}, {ENRICHED}, {FLOW}
         SELECT case_id, {with_prior('p1')} AS composed_task FROM flow""",
     "final_summary": f"""WITH {CASES}, {VENDORS}, {ENRICHED}, {FLOW}
-        SELECT case_id, CASE WHEN lang = 'en' THEN 3 ELSE 0 END::BIGINT AS n_steps,
-               CASE WHEN lang = 'en' THEN s2 ELSE '(no crews ran)' END AS final_summary FROM flow""",
+        SELECT o_orderkey AS case_id, CASE WHEN f.case_id IS NULL THEN 0 ELSE 3 END::BIGINT AS n_steps,
+               CASE WHEN f.case_id IS NULL THEN '(no crews ran)' ELSE s2 END AS final_summary
+        FROM orders LEFT JOIN flow f ON f.case_id = o_orderkey""",
     "vendor_enrich": ENRICH,
     "vendor_enrich_salted": ENRICH,
     "vendor_quality": f"""WITH {VENDORS}, {VENDOR_AGES},

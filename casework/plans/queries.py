@@ -14,7 +14,7 @@ from ..sources.caseload import DEFAULT_MODEL, DUNNING_LEVELS, Caseload
 from ..sources.tables import stream_table
 from ..streaming import steps as live
 from ..streaming.run import drain, use_rocksdb
-from .flow import CaseFlow, Stage, append_outputs, compose_task, final_summaries, output_rows, prior_contexts
+from .flow import CaseFlow, Stage, append_outputs, compose_task, final_summaries, output_rows, prior_contexts, row_priors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,14 +118,20 @@ def _flow(t: Caseload) -> CaseFlow:
 
 @query
 def prior_context(t: Caseload) -> DataFrame:
-    return prior_contexts(output_rows(_flow(t).run(t.cases())), n_steps=3)
+    return row_priors(_flow(t).run(t.cases()))
+
+
+@query
+def prior_context_log(t: Caseload) -> DataFrame:
+    """The same from the output log, where a case is several rows."""
+    return prior_contexts(output_rows(_flow(t).run(t.cases())))
 
 
 @query
 def output_log(t: Caseload) -> DataFrame:
-    """Outputs of two flows in one long table: all cases are looked up, only some reviewed."""
+    """Outputs of two flows in one long table: a lookup and then a review of every case."""
     looked_up = output_rows(CaseFlow([_lookup_stage(t)]).run(t.cases()))
-    reviewed = output_rows(CaseFlow([Stage("review", _review_stage)]).run(t.cases().where(F.col("lang") == "en")))
+    reviewed = output_rows(CaseFlow([Stage("review", _review_stage)]).run(t.cases()))
     later = reviewed.withColumn("step", F.col("step") + 1)
     return append_outputs(looked_up, later).select("case_id", "step", "name", "summary")
 
@@ -139,8 +145,9 @@ def composed_task(t: Caseload) -> DataFrame:
 
 @query
 def final_summary(t: Caseload) -> DataFrame:
-    ran = _flow(t).run(t.cases().where(F.col("lang") == "en"))
-    return final_summaries(t.cases(), output_rows(ran))
+    """The outcome of every order's case; most orders had no letter that a flow could handle."""
+    orders = t.table("orders").select(F.col("o_orderkey").alias("case_id"))
+    return final_summaries(orders, output_rows(_flow(t).run(t.cases())))
 
 
 # Master data

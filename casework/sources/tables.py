@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 SMALL_INPUT_SPLITS = 64
+# Input of one micro-batch unless a caller says otherwise.
+TRIGGER_BYTES = 1 << 30
 
 
 def read_table(
@@ -33,15 +35,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def stream_table(
-    spark: SparkSession, folder: str, name: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, name: str, schema: StructType, fmt: str = "parquet",
+    files_per_trigger: int | None = None, bytes_per_trigger: int = TRIGGER_BYTES,
 ) -> DataFrame:
     """``folder/name.fmt``, a file or a folder that files arrive in, as a stream.
 
-    ``files_per_trigger`` bounds what one micro-batch holds.
+    A micro-batch takes about ``bytes_per_trigger`` of input, one file at
+    least, or ``files_per_trigger`` files if that is given.
     """
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     # As a pattern the path may name a single file, which a stream refuses otherwise.
     return reader.load(f"{folder}/{name}[.]{fmt}")
 

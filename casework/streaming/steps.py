@@ -71,7 +71,7 @@ class StepRouter(StatefulProcessor):
         self._state = handle.getValueState("loop", STATE_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        steps = pd.concat(list(rows), ignore_index=True)
+        steps = pd.concat([part.drop(columns="case_id") for part in rows], ignore_index=True)
         before = self._state.get() if self._state.exists() else (-1 << 62, 0, 0, False)
         after, routed = route_steps(tuple(before), steps, self.max_stalls, self.max_replans)
         self._state.update(after)

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from casework.operators import masterdata as md
-from casework.plans.flow import CaseFlow, Stage, append_outputs, compose_task, final_summaries, output_rows, prior_contexts
+from casework.plans.flow import CaseFlow, Stage, append_outputs, case_changes, compose_task, final_summaries, output_rows, prior_contexts, row_priors
 
 VENDOR_SCHEMA = "vendor_id string, name string, iban string, country string, payment_terms string"
 
@@ -119,17 +119,31 @@ OUT = "case_id long, step long, name string, summary string, data string"
 
 def test_long_outputs_give_the_same_priors_as_the_flow(spark):
     flow = CaseFlow([says("a", "ra"), says("b", "rb"), says("c", "rc")])
-    rows = output_rows(flow.run(tasks(spark, "t", "u")))
-    got = {(r.case_id, r.step): (r.name, r.prior) for r in prior_contexts(rows, 3).collect()}
+    ran = flow.run(tasks(spark, "t", "u"))
+    got, held = ({(r.case_id, r.step): (r.name, r.prior) for r in df.collect()} for df in (prior_contexts(output_rows(ran)), row_priors(ran)))
+    assert got == held
     one = '[a]\n<external_content source="worker">ra</external_content>'
     two = one + '\n\n[b]\n<external_content source="worker">rb</external_content>'
     assert got == {(c, s): v for c in (0, 1) for s, v in enumerate([("a", ""), ("b", one), ("c", two)])}
 
 
 def test_priors_reject_a_step_twice_or_out_of_range(spark):
-    for bad in ([(1, 0, "a", "x", None), (1, 0, "a", "y", None)], [(1, 5, "a", "x", None)]):
+    for bad in ([(1, 0, "a", "x", None), (1, 0, "a", "y", None)], [(1, -1, "a", "x", None)], [(1, None, "a", "x", None)]):
         with pytest.raises(PySparkException, match="steps not unique"):
-            prior_contexts(spark.createDataFrame(bad, OUT), 2).collect()
+            prior_contexts(spark.createDataFrame(bad, OUT)).collect()
+
+
+def test_priors_know_no_number_of_steps(spark):
+    rows = [(1, k * 3, f"n{k}", f"r{k}", None) for k in range(40)]
+    got = {r.step: r.prior for r in prior_contexts(spark.createDataFrame(rows, OUT)).collect()}
+    assert len(got) == 40 and got[0] == "" and got[117].count("[n") == 39 and got[3] == '[n0]\n<external_content source="worker">r0</external_content>'
+
+
+def test_lost_and_doubled_cases_are_told(spark):
+    cases = tasks(spark, "t", "u", "v")
+    ran = CaseFlow([Stage("a", lambda df: df.where("case_id > 0").union(df.where("case_id > 1")).withColumn("summary", F.lit("s")))]).run(cases)
+    assert sorted(map(tuple, case_changes(cases, ran).collect())) == [(0, 1, 0), (2, 1, 2)]
+    assert case_changes(cases, CaseFlow([says("a", "s")]).run(cases)).isEmpty()
 
 
 def test_final_summary_is_the_last_steps_and_has_a_default(spark):

@@ -57,6 +57,18 @@ def test_replay_shuffles_its_rows_once(spark):
     assert "ReusedExchange" in cut
 
 
+@pytest.mark.parametrize("name", ["prior_context", "prior_context_log", "final_summary", "registry_view", "replan_inputs"])
+def test_texts_take_no_sort_aggregate(spark, name):
+    text = plan(QUERIES[name](spark, DATA))
+    # One makes vendor records unique, on the vendor table.
+    assert "SortAggregate" not in text.replace("SortAggregate(key=[vendor_id", "")
+
+
+def test_a_flow_shows_its_priors_without_a_shuffle(spark):
+    text = plan(QUERIES["prior_context"](spark, DATA))
+    assert text.count("hashpartitioning") == 1 and "hashpartitioning(vendor_id" in text
+
+
 def test_stages_of_a_flow_add_no_shuffle(spark):
     text = plan(QUERIES["composed_task"](spark, DATA))
     # The one shuffle makes vendor ids unique, on the broadcast side; cases stay where they are.

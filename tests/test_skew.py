@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casework.operators import registry
+from casework.operators import registry, skew
 from casework.operators.history import change_intervals, value_as_of
 from casework.operators.skew import OrderedLog, fits_broadcast, lookup
 
@@ -106,6 +106,44 @@ def test_chunks_bound_the_rows_of_a_task(spark):
     assert sum(sizes) == 5001 and max(sizes) <= 400
 
 
+def sizes_of(log):
+    return [r["count"] for r in log.df.groupBy(*log.group).count().collect()]
+
+
+def test_cutting_goes_on_until_every_chunk_fits(spark):
+    """Rows at powers of two: each round of few ranges splits off little."""
+    rows = [(1, 1 << (i // 2), i, "x") for i in range(80)]
+    log = OrderedLog.of(spark.createDataFrame(rows, LOG), "k", "seq", rows_per_chunk=40)
+    assert max(sizes_of(log)) <= 40 and len(log.chunks) >= 4
+
+
+def test_rows_at_one_moment_and_rows_without_a_key_are_cut(spark):
+    rows = [(1, 7, i, "x") for i in range(1000)] + [(None, i, i % 3, "y") for i in range(1000)] + [(2, 1, 0, "x")]
+    df = spark.createDataFrame(rows, LOG)
+    log = OrderedLog.of(df, "k", "seq", rows_per_chunk=50)
+    assert log.nulls and sum(sizes_of(log)) == 2001 and max(sizes_of(log)) <= 100
+    got = log.running_sum("total", F.col("n")).neighbour({"prev": "seq"}).result.where("k is null").collect()
+    assert sorted((r.seq, r.total, r.prev) for r in got)[999] == (999, sum(i % 3 for i in range(1000)), 998)
+    probes = spark.createDataFrame([(i, 1, 7) for i in range(1000)] + [(5000 + i, None, 3) for i in range(200)], "id long, k long, seq long")
+    seen = spark.createDataFrame([(1, 7, "new"), (1, 3, "old"), (None, 2, "none")], "k long, seq long, v string")
+    values = {r.id: r.v for r in value_as_of(seen, probes, "k", "seq", "v", 10).collect()}
+    assert values == {i: "new" for i in range(1000)} | {5000 + i: "none" for i in range(200)}
+
+
+def test_many_hot_keys_are_joined_without_bringing_a_key_together(spark, facts, dim, shuffled_joins, monkeypatch):
+    expected = sorted(map(str, facts.join(dim, "k", "left").collect()))
+    monkeypatch.setattr(skew, "MAX_LISTED_KEYS", 0)
+    got = lookup(facts, dim, "k", "left", broadcast_rows=0, rows_per_task=20)
+    assert sorted(map(str, got.select("k", "id", "body", "v").collect())) == expected
+    assert "_spread" in got._jdf.queryExecution().analyzed().toString()
+    rows = random_log(3, 6, 80) + [(None, i, 1, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, LOG)
+    plain = OrderedLog.of(df, "k", "seq").running_sum("t", F.col("n")).result.collect()
+    cut = OrderedLog.of(df, "k", "seq", rows_per_chunk=15)
+    assert max(sizes_of(cut)) <= 15
+    assert sorted(map(str, cut.running_sum("t", F.col("n")).result.select("k", "seq", "n", "v", "t").collect())) == sorted(map(str, plain))
+
+
 def test_counts_may_come_from_a_larger_table(spark):
     rows = random_log(4, 5, 60)
     df = spark.createDataFrame(rows, LOG)
