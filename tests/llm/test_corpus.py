@@ -227,6 +227,31 @@ def test_vectors_equal_all_pairs(spark):
     assert nndescent.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_that_the_rounds_miss_are_found_or_refused(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    tight = rng.standard_normal(32) + 0.02 * rng.standard_normal((200, 32))
+    alone = rng.standard_normal((60, 32))
+    pairs = np.concatenate([alone, alone + 0.02 * rng.standard_normal((60, 32))])
+    vectors = [(i, x.tolist()) for i, x in enumerate(np.concatenate([tight, pairs]))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    first = nndescent._introductions
+
+    def only_tight(nodes, *more):  # the pairs outside the group never meet
+        return first(nodes.where("least < 200"), *more)
+
+    monkeypatch.setattr(nndescent, "_introductions", only_tight)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_vectors(df).collect()}
+    assert got == {i: (199, 0) if i < 200 else (1, 200 + (i - 200) % 60) for i in range(320)}
+    monkeypatch.setattr(nndescent, "EXACT_NODES", 0)
+    with pytest.raises(RuntimeError, match="recall"):
+        nndescent.near_vectors(df)
+
+
+def test_hash_tables_follow_the_nodes():
+    sizes = [nndescent._hashing(n, 0.95) for n in (0, 1, 1000, 10**6, 10**8)]
+    assert sizes == sorted(sizes) and sizes[-1][0] > 6 and sizes[-1][1] > 10
+
+
 def test_archives(spark):
     pages = [(i, f"http://x/{i}\r\nEvil: 1", "same" if i % 3 else f"<p>ü{i}</p>" * 50) for i in range(60)] + [(60, None, None), (None, "u", ""), (3, "again", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
