@@ -94,7 +94,9 @@ def signatures(found: np.ndarray, owner: np.ndarray, counts: np.ndarray, texts:
         draw = mix(seed[:, None] + np.arange(2 * made + 1, 2 * (made + n) + 1, dtype=U) * U(0x9E3779B97F4A7C15))
         made += n
         gap = -np.log(((draw[:, ::2] >> U(11)).astype(float) + 0.5) / (1 << 53)) / width[:, None]
-        when = time[:, None] + np.cumsum(gap, axis=1)
+        # Added up one by one from the first point on, so the bits do not depend on n.
+        gap[:, 0] += time
+        when = np.cumsum(gap, axis=1)
         place = draw[:, 1::2]
         register = (place % U(registers)).astype(np.int64) + owner[:, None] * registers
         weight = low[:, None] + (place >> U(16)).astype(float) / (1 << 48) * width[:, None]

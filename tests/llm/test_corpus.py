@@ -140,6 +140,18 @@ def test_signatures_estimate_the_weighted_similarity():
         assert abs(np.mean(agree) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def test_signatures_do_not_depend_on_the_other_texts_of_a_slice():
+    rng = np.random.default_rng(4)
+    texts = [[f"w{k}" for k in rng.integers(0, 10**6, n + 4)] for n in (1, 1, 3, 10, 20, 80, 300)]
+    texts = [" ".join(t * (1 + i % 2)) for i, t in enumerate(texts)]
+    alone = [bagminhash.signatures(*bagminhash.shingles([t]), 1)[0] for t in texts]
+    others = [" ".join(f"v{k}" for k in rng.integers(0, 10**6, 300)) for _ in range(120)]
+    for together in (texts + others, others[:30] + texts):
+        rows = bagminhash.signatures(*bagminhash.shingles(together), len(together))
+        at = together.index(texts[0])
+        assert all((rows[at + i] == own).all() for i, own in enumerate(alone))
+
+
 def _edits(part, text):
     before = [0] * (len(text) + 1)
     for i, x in enumerate(part, 1):
