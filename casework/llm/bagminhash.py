@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import id_filter, id_key, quoted, stage, text_slices
 from .graph import components
@@ -124,9 +124,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 rows = signatures(*parts, len(texts))
                 any_word = np.bincount(parts[1], minlength=len(texts)) > 0
                 signature = pa.array([r.tobytes() if ok else None for r, ok in zip(rows, any_word, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys.column("_k"), keys.column("_text_id"), signature], names=["_k", "_text_id", "_sig"])
+                kept = [keys.column(c) for c in ("doc_id", "_k", "_text_id")]
+                yield pa.RecordBatch.from_arrays([*kept, signature], names=["doc_id", "_k", "_text_id", "_sig"])
 
-    return docs.mapInArrow(run, "_k long, _text_id binary, _sig binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _k long, _text_id binary, _sig binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 values, owner = occurrences(*shingles(texts))
                 offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys.column("_k"), sets], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([keys.column("node"), sets], names=["node", "items"])
 
     return docs.mapInArrow(run, "node long, items array<long>")
 
@@ -194,17 +195,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     A null text counts as empty; empty texts equal each other and link with
     nothing else. A null id takes a key made from its text, shown as
-    ``class_id`` and ``group_id``. Rows that share an id share their group.
-    Other columns are not read.
+    ``class_id`` and ``group_id``. Groups are of texts: rows that share an id
+    but not a text may be in different groups. Other columns are not read.
     """
-    value = F.coalesce(quoted(text), F.lit(""))
-    read = docs.select(id_key(docs, id_col, text).alias("_k"), value.alias("_text"))
-    keyed = read.withColumn("_text_id", F.unhex(F.sha2("_text", 256)))
-    signed = stage(_signed(keyed), "signatures")
+    return _grouped(docs, id_col, text, least).select("doc_id", "class_id", "group_id", "kept")
+
+
+def _text_id(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(quoted(text), F.lit("")), 256))
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
+    """The rows of ``near_duplicates`` with the key and the text that tell them apart."""
+    read = docs.select(quoted(id_col).alias("doc_id"), id_key(docs, id_col, text).alias("_k"), F.coalesce(quoted(text), F.lit("")).alias("_text"))
+    signed = stage(_signed(read.withColumn("_text_id", _text_id("_text"))), "signatures")
     classes = signed.groupBy("_text_id").agg(F.min("_k").alias("class_id"))
-    member = stage(signed.select("_k", "_text_id").join(classes, "_text_id").groupBy("_k").agg(F.min("class_id").alias("class_id")), "classes")
-    first = member.where("_k = class_id").select("_k")
-    signed = signed.where("_sig is not null").join(first, "_k", "left_semi").select(F.col("_k").alias("node"), "_sig")
+    # Every text is a node of its own, also if an id repeats with several texts.
+    repeated = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.when(F.col("n").isNull(), F.col("class_id")).otherwise(-1 - F.pmod(F.xxhash64("_text_id"), F.lit(1 << 62)))
+    classes = stage(classes.join(repeated, "class_id", "left").select("_text_id", "class_id", own.alias("node")), "classes")
+    first = classes.withColumnRenamed("class_id", "_k")
+    rows = signed.select("doc_id", "_k", "_text_id")
+    signed = signed.where("_sig is not null").join(first, ["_k", "_text_id"]).select("node", "_sig")
     width = 4 * REGISTERS // BANDS
     band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(_sig, i * {width} + 1, {width})))"))
     banded = signed.select("node", band.alias("bucket"))
@@ -212,9 +224,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     crowd = stage(banded.join(shared.select("bucket", "hub"), "bucket"), "buckets")
 
     involved = crowd.select("node").distinct()
-    maybe = id_filter(involved, "node")
-    texts = read.where(maybe(F.col("_k"))).join(involved, read["_k"] == involved["node"], "left_semi").join(first, "_k", "left_semi")
-    sets = stage(_sets(texts.dropDuplicates(["_k"])), "shingle-sets")
+    asked = stage(first.join(involved, "node", "left_semi"), "asked")
+    maybe = id_filter(asked, "_k")
+    texts = read.where(maybe(F.col("_k"))).withColumn("_text_id", _text_id("_text")).join(asked, ["_k", "_text_id"])
+    sets = stage(_sets(texts.dropDuplicates(["_k", "_text_id"]).select("node", "_text")), "shingle-sets")
     pairs = crowd.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(_verified(pairs, sets, least), "links")
     joined = components(links)
@@ -234,28 +247,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rest = rest.select("bucket", "block", "node", "component").join(signed, "node").join(sets, "node")
     more = _settled(rest, least)
     final = components(stage(links.union(more), "all-links"))
-    grouped = member.join(final, member["class_id"] == final["node"], "left").select(
-        "_k", "class_id", F.coalesce("component", "class_id").alias("group_id")
-    )
-    ids = docs.select(quoted(id_col).alias("doc_id"), id_key(docs, id_col, text).alias("_k"))
-    return ids.join(grouped, "_k").select("doc_id", "class_id", "group_id", (F.col("_k") == F.col("group_id")).alias("kept"))
+    linked = classes.select("node", "class_id").join(final, "node")
+    heads = linked.groupBy("component").agg(F.min(F.struct("class_id", "node")).alias("head"))
+    named = linked.join(heads, "component").select("node", F.col("head.class_id").alias("group_id"), F.col("head.node").alias("head"))
+    placed = classes.join(named, "node", "left").withColumns({"group_id": F.coalesce("group_id", "class_id"), "first": F.coalesce("head", "node") == F.col("node")})
+    kept = F.col("first") & (F.col("_k") == F.col("class_id"))
+    return rows.join(placed, "_text_id").select("doc_id", "_k", "_text_id", "class_id", "group_id", kept.alias("kept"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id, and of
-    rows that repeat that id one. Only rows that may have to go are shuffled."""
-    found = stage(near_duplicates(docs, id_col, text, least).select("doc_id", "kept"), "groups")
+    rows that repeat that id with that text one. Only rows that may have to go
+    are shuffled."""
+    found = stage(_grouped(docs, id_col, text, least).select("_k", "_text_id", "kept"), "groups")
     return _keep_first(docs, found, id_col, text)
 
 
 def _keep_first(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    doubtful = stage(ids.where("doc_id is null or not kept or n > 1").select("doc_id", "kept"), "doubtful")
-    maybe = id_filter(doubtful, "doc_id")
-    test = F.coalesce(maybe(quoted(id_col)), F.lit(True)) | quoted(id_col).isNull()
-    marked = docs.withColumn("_maybe", test)
+    rows = found.groupBy("_k", "_text_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    doubtful = stage(rows.where("not kept or n > 1").select("_k", "_text_id", "kept"), "doubtful")
+    maybe = id_filter(doubtful, "_k")
+    marked = docs.withColumn("_maybe", maybe(id_key(docs, id_col, text)))
     sure = marked.where(~F.col("_maybe")).drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe")
-    gone = doubtful.where("not kept").select(F.col("doc_id").alias("_gone"))
-    rest = rest.join(gone, quoted(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return sure.unionByName(rest.dropDuplicates([id_col]))
+    rest = marked.where("_maybe").withColumns({"_k": id_key(docs, id_col, text), "_text_id": _text_id(text)})
+    rest = rest.join(doubtful.where("not kept"), ["_k", "_text_id"], "left_anti").dropDuplicates(["_k", "_text_id"])
+    return sure.unionByName(rest.select(*map(quoted, docs.columns)))

@@ -127,6 +127,18 @@ def test_near_duplicates_equal_all_pairs(spark, odd, empty):
     assert bagminhash.near_duplicates(odd).count() == odd.count() and bagminhash.near_duplicates(empty).count() == 0
 
 
+def test_texts_without_an_id_or_with_a_repeated_one_are_kept(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(None, text(n)) for n in "abcd"] + [(None, text("a")), (None, None), (None, "")]
+    rows += [(5, text("e")), (5, text("f")), (5, text("f") + " more"), (7, text("f")), (1, text("g")), (5, text("g")), (8, text("a") + " more"), (9, text("h"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for turn in (docs, docs.union(docs)):
+        kept = Counter((r["doc_id"], r["text"] or "") for r in bagminhash.drop_copies(turn).collect())
+        more = {k: n for k, n in kept.items() if not (k[0] == 5 and k[1].startswith(text("f")))}
+        assert more == {**{(None, text(n)): 1 for n in "abcd"}, (None, ""): 1, (5, text("e")): 1, (1, text("g")): 1, (9, text("h")): 1}
+        assert sum(kept.values()) == len(more) + 1
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(0)
     for most in (1, 5, 60):
