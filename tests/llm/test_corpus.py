@@ -335,3 +335,16 @@ def test_pipeline(spark):
     assert len(ids) == len(set(ids)) > 100 and all(r["round_trip"] for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "byte_bpe"]
     assert hashlib.sha256(rows[0]["ids"]).digest()
+
+
+def test_stages_return_columns_that_share_a_name_with_the_operators(spark):
+    import corpus_pipeline
+
+    names = ["score", "predicted", "passages", "leaks", "strong", "Spans", "toxic", "_masked"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for apply in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_contaminated, corpus_pipeline.mask_secrets):
+        got = apply(spark, docs, DATA)
+        assert got.dtypes == docs.dtypes
+        rows = got.select("doc_id", *names).collect()
+        assert len(rows) > 100 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
