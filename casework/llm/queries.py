@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import run_dir
 from ..sources.tables import read_table
-from . import bagminhash, bpe, decontam, nndescent, secret_scan, sharding, substrings, toxicity, trie_counts, warc
+from . import bagminhash, bpe, decontam, nndescent, periodic, pii, secret_scan, sharding, spelling, substrings, toxicity, trie_counts, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,6 +84,60 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Longest runs first: what is too short for a word stays too short without a code point.
+    docs = read_table(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z\u00C0-\u00FF]{6,}"), F.lit(0))).alias("run"))
+    runs = runs.withColumn("run", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    runs = runs.select("run", h.alias("h"))
+    cut = F.when(F.col("h") % 199 == 0, F.expr("concat(substring(run, 1, int(h % length(run))), substring(run, int(h % length(run)) + 2))")).otherwise(F.col("run"))
+    counts = runs.select(cut.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return spelling.variants(counts.where("n >= 5 and length(word) >= 6"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
+        pii.told(F.col("spans")).alias("spans"),
+    )
+
+
+def _looped(doc_id: Column, text: Column) -> Column:
+    """The text of every tenth document with the words from one place on made periodic."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def rewritten(held: Column) -> Column:
+        n, w, g = F.size(held["w"]), held["w"], F.floor(held["h"] / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        looped = F.transform(w, lambda word, i: F.when(i < a, word).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+        return F.array_join(looped, " ")
+
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(F.struct(words.alias("w"), h.alias("h"))), rewritten), F.lit(0))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", _looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs).drop("text")
+    longer = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise("")
+    told = found.withColumn("best", longer)
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -99,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_personal_data": op12_personal_data,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 _BITS = "list_transform(range(1, 41), lambda i: format('{:04b}', instr('0123456789abcdef', substr(h, i::INTEGER, 1)) - 1))"
