@@ -15,15 +15,17 @@ without a next step are not made.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.skew import HotKeys
 from .common import stage
 
 # How many times as frequent as a word its form is at least.
 RATIO = 5
-# Words through a node that one task of a level's join takes at most, about.
-NODE_WORDS = 20_000
+# Words through a node that are one part of a level's join at most, about.
+NODE_WORDS = 10_000
+# Rows of states or words that one task takes, about: small rows, each with many steps to try.
+TASK_ROWS = 10_000
 # Code points that an edge tells of what lies below it.
 AHEAD = 2
 
@@ -32,6 +34,10 @@ def _prefix(length: str) -> str:
     return f"xxhash64(substring(word, 1, {length}))"
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def _edges(words: DataFrame) -> DataFrame:
     """``level, node, parts, label, child, child_parts, ends, open, ahead``: an
     edge from node to child, in how many parts each is joined, the word that
@@ -71,25 +77,41 @@ def _edges(words: DataFrame) -> DataFrame:
         F.col("p.b.node").alias("child"), F.col("p.b.parts").alias("child_parts"), F.col("p.b.open").alias("open"),
     ).agg(F.max(F.expr("if(p.b.at = length(word), word, null)")).alias("ends"))
     tips = nodes.select(F.col("node").alias("child"), "ahead")
-    return stage(found.join(tips, "child"), "trie-edges")
+    return stage(found.join(tips, "child").withColumn("size", F.length("label")), "trie-edges")
+
+
+def _rest(extra: int) -> str:
+    return f"substring(rest, size + {extra + 1})"
+
+
+def _goes_on(extra: int) -> str:
+    """Whether a state with its edit spent has a next step, or has ended a word."""
+    return f"if({_rest(extra)} = '', ends is not null, instr(ahead, substring(rest, size + {extra + 1}, {AHEAD})) > 0)"
+
+
+def _replaced() -> str:
+    met = "substring(rest, 1, size)"
+    return f"(edits = 0 and label > {met} and length({met}) = size and {_goes_on(0)} and (size = 1 or levenshtein({met}, label, 1) = 1))"
+
 
+def _skipped() -> str:
+    met = "substring(rest, 1, size + 1)"
+    return f"(edits = 0 and (size > 1 or instr({met}, label) > 0) and length({met}) = size + 1 and {_goes_on(1)} and levenshtein({met}, label, 1) = 1)"
 
-def _moves() -> Column:
-    """What a state becomes over an edge: (rest, edits) pairs."""
-    rest, size = "rest", "length(label)"
 
-    def move(extra: int, valid: str, edits: str) -> str:
-        return f"if({valid}, struct(substring({rest}, {size} + {extra + 1}) as rest, {edits} as edits), null)"
+def _matched() -> str:
+    return f"(startswith(rest, label) and if(edits = 0, open and {_rest(0)} <> '', {_goes_on(0)}))"
 
-    def one_off(extra: int) -> str:
-        met = f"substring({rest}, 1, {size} + {extra})"
-        return f"edits = 0 and length({met}) = {size} + {extra} and levenshtein({met}, label, 1) = 1"
 
-    replaced = one_off(0) + f" and label > substring({rest}, 1, {size})"
-    moves = [move(0, f"startswith({rest}, label)", "edits"), move(0, replaced, "1"), move(1, one_off(1), "1")]
-    ahead = f"if(m.rest = '', ends is not null, instr(ahead, substring(m.rest, 1, {AHEAD})) > 0)"
-    alive = f"m is not null and if(m.edits = 0, open and m.rest <> '', {ahead})"
-    return F.explode(F.expr(f"filter(array({', '.join(moves)}), m -> {alive})"))
+def _moved(met: DataFrame) -> DataFrame:
+    """What states become over the edges of their nodes: one code point further
+    in the label for each of the word, or one more of the word."""
+    # Most pairs of a state and an edge lead nowhere; those go before any row is made of them.
+    met = met.where(f"{_matched()} or {_replaced()} or {_skipped()}")
+    moves = [(_matched(), 0, "edits"), (_replaced(), 0, "1"), (_skipped(), 1, "1")]
+    made = ", ".join(f"if({ok}, struct({_rest(extra)} as rest, {edits} as edits), null)" for ok, extra, edits in moves)
+    after = met.select("word", F.explode(F.expr(f"array({made})")).alias("m"), "child", "child_parts", "ends").where("m is not null")
+    return after.select("word", "m.rest", F.col("child").alias("node"), F.col("child_parts").alias("parts"), "m.edits", "ends")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -99,9 +121,10 @@ def near_words(words: DataFrame) -> DataFrame:
     Nulls are left out; the empty word is near every word of one code point.
     """
     words = stage(words.select("word").where("word is not null").distinct(), "words")
+    n_states = words.count()
+    words = words.repartition(_tasks(n_states), "word")
     edges = _edges(words)
-    n_words = words.count()
-    parts = max(1, -(-n_words // NODE_WORDS))
+    parts = max(1, -(-n_states // NODE_WORDS))
     states = words.select("word", F.col("word").alias("rest"), F.expr(_prefix("0")).alias("node"), F.lit(parts).alias("parts"), F.lit(0).alias("edits"))
     # No edge leads to the empty word: it is met by what follows the only code point of a word.
     short = words.where("length(word) = 1").withColumn("near", F.expr("substring(word, 2)"))
@@ -109,13 +132,16 @@ def near_words(words: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("word"), F.col("parts")).alias("part")
     while True:
         here = edges.where(F.col("level") == level).withColumn("part", F.explode(F.expr("transform(sequence(0, parts - 1), x -> bigint(x))")))
-        met = states.select("word", "rest", "node", "edits", part).join(here.drop("level", "parts"), ["node", "part"])
-        after = met.select("word", _moves().alias("m"), "child", "child_parts", "ends")
-        after = after.select("word", "m.rest", F.col("child").alias("node"), F.col("child_parts").alias("parts"), "m.edits", "ends")
+        # The bytes of small rows would ask for fewer tasks than their steps do.
+        tasks = _tasks(n_states)
+        asked = states.select("word", "rest", "node", "edits", part).repartition(tasks, "node", "part")
+        met = asked.join(here.drop("level", "parts").repartition(tasks, "node", "part"), ["node", "part"])
+        after = _moved(met)
         after = stage(after, f"frontier-{level}")
         pairs.append(after.where("rest = ''").select("word", F.col("ends").alias("near")))
         states = after.where("rest <> ''").drop("ends")
-        if states.isEmpty():
+        n_states = states.count()
+        if not n_states:
             break
         level += 1
     found = pairs[0]
