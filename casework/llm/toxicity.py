@@ -2,9 +2,12 @@
 
 1. Counts: in how many texts of the whole corpus, of the toxic and of the
    clean labelled rows a token occurs, in one pass. The corpus share of a token is its Dirichlet prior.
+   Beginnings of words are tokens beside whole words, with the sums of their
+   words' counts: a language that builds words from parts has few words that
+   are frequent by themselves.
 2. Scores: log-odds of a token between the two classes, shrunk towards zero by
-   its standard error, less a small cost per token, so that ordinary text
-   scores below zero.
+   its standard error. A word scores as the best of itself and its beginnings,
+   less a small cost, so that ordinary text scores below zero.
 3. Scan: one linear pass finds all maximal segments of positive score.
 4. Calibration: the best segments of clean labelled rows give the two
    parameters of an extreme-value law; a segment's score becomes a p-value for
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
@@ -29,14 +32,20 @@ from .common import added, quoted, stage, text_slices
 # Labelled rows of each class that the model is fitted to, chosen by a hash of
 # their id; about this many, whatever the number of labels.
 TRAIN_ROWS = 20_000
-# Tokens that the model holds: those most surely told apart.
+# Whole words that the model holds, and as many beginnings: those most surely told apart.
 MODEL_TOKENS = 50_000
+# Code points of the beginnings that are tokens.
+BEGINNINGS = (4, 8)
+# Ends a token that is a beginning; no word holds it.
+CUT = "*"
 # Weight of the corpus distribution, in token counts, against those of a class.
 PRIOR_TOKENS = 2_000.0
 # Standard errors that a log-odds value is drawn towards zero by.
 SHRINK = 2.0
-# Cost of a token: a passage pays if it has a telling word among some dozens.
-COST = 0.05
+# Cost of a word: a passage pays if it has a telling word among some dozens.
+COST = 0.15
+# Scores of distinct words that a task remembers at a time.
+REMEMBERED = 1 << 17
 # Steps of the tables that calibration collects; both tables are of fixed size.
 SCORE_STEP, SCORE_STEPS = 0.25, 4_000
 EVIDENCE_STEP, EVIDENCE_STEPS = 0.25, 2_000
@@ -84,10 +93,25 @@ class Model:
     bias: float = -4.0
     gain: float = 0.0
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        words = tokens(text)
-        weight = self.weights.get
-        return len(words), segments(np.fromiter((weight(w, 0.0) for w in words), float, len(words)))
+    def weight(self, word: str) -> float:
+        """The best of the word and its beginnings; 0 if the model has none of them."""
+        least, most = BEGINNINGS
+        parts = (word, *(word[:n] + CUT for n in range(least, min(most, len(word) - 1) + 1)))
+        return max((w for p in parts if (w := self.weights.get(p)) is not None), default=0.0)
+
+    def scanner(self) -> Callable[[str | None], tuple[int, list[tuple[int, int, float]]]]:
+        """A function from a text to its number of words and its segments; it remembers words."""
+        known: dict[str, float] = {}
+
+        def scan(text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+            words = tokens(text)
+            if len(known) > REMEMBERED:
+                known.clear()
+            for word in set(words).difference(known):
+                known[word] = self.weight(word)
+            return len(words), segments(np.fromiter(map(known.__getitem__, words), float, len(words)))
+
+        return scan
 
     def surprise(self, length: int, score: float) -> float:
         """Minus the log of the chance of such a segment in clean text of this length."""
@@ -152,6 +176,14 @@ def _weights(counts: DataFrame, tokens_kept: int, prior: float, shrink: float) -
     return {r["token"]: float(r["w"]) for r in kept}
 
 
+def _beginnings(counts: DataFrame) -> DataFrame:
+    """Counts of the beginnings of words that are longer: the sums over those words."""
+    least, most = BEGINNINGS
+    cut = F.expr(f"transform(sequence({least}, least({most}, length(token) - 1)), n -> concat(substring(token, 1, n), '{CUT}'))")
+    rows = counts.where(F.length("token") > least).select(F.explode(cut).alias("token"), "n", "toxic", "clean")
+    return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+
+
 def _gumbel(table: list[tuple[int, int, int]]) -> tuple[float, float]:
     """Slope and size of the law from a table of (score step, log2 length, rows),
     by its quartiles above the texts without a positive segment."""
@@ -191,11 +223,12 @@ def _scanned(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*shared.value)
+        scan = held.scanner()
         for batch in batches:
             rows = []
             labelled = ((t, y) for part, texts in text_slices(batch, "_text") for t, y in zip(texts, part.column("_toxic").to_pylist(), strict=True))
             for text, toxic in labelled:
-                length, found = held.scan(text)
+                length, found = scan(text)
                 best = max((s for *_, s in found), default=0.0)
                 value = min(held.evidence(length, found), 1e6)
                 rows.append(
@@ -236,7 +269,8 @@ def fit(
     read = docs.select(quoted(id_col).alias("_id"), quoted(text).alias("_text"))
     counts = _token_counts(read.join(F.broadcast(chosen), "_id", "left").select("_text", "_toxic"))
     counts = stage(counts, "token-counts")
-    model = Model(_weights(counts, tokens_kept, PRIOR_TOKENS, SHRINK))
+    starts = stage(_beginnings(counts), "beginning-counts")
+    model = Model(_weights(counts, tokens_kept, PRIOR_TOKENS, SHRINK) | _weights(starts, tokens_kept, PRIOR_TOKENS, SHRINK))
     if not model.weights:
         return model
     train = read.join(F.broadcast(chosen), "_id").select("_text", "_toxic")
@@ -253,8 +287,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` and ``passages``: the
     significant segments as (first token, end token, p-value).
 
-    A null or empty text, or one without words, has no passage and the lowest
-    score. Equal texts score alike. Columns with these names are replaced.
+    A word is a run of letters in lower case; digits separate words. A null or
+    empty text, or one without words, has no passage and the lowest score.
+    Equal texts score alike, so repeated rows and null ids do. Columns with
+    these names are replaced.
     """
     names = ("score", "predicted", "passages")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
@@ -265,11 +301,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*shared.value)
+        scan = held.scanner()
         for batch in batches:
             for part, texts in text_slices(batch, text):
                 scores, passages = [], []
                 for value in texts:
-                    length, found = held.scan(value)
+                    length, found = scan(value)
                     scores.append(held.score(held.evidence(length, found)))
                     told = [(a, b, held.surprise(length, s)) for a, b, s in found]
                     passages.append([{"start": a, "end": b, "p": math.exp(-s)} for a, b, s in told if s > 3.0])
