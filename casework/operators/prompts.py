@@ -94,19 +94,60 @@ def supervisor_requests(df: DataFrame, prompt: Column, model_id: str, header: st
     return df.withColumns({"model_id": F.lit(model_id), "messages": messages(F.lit(header), prompt)})
 
 
+# What names are made of, and the places where a text turns from that to something else or back.
+_NAME = r"[\p{L}\p{N}_]"
+_TURN = rf"(?<={_NAME})(?!{_NAME})(?=[\s\S])|(?<!{_NAME})(?<=[\s\S])(?={_NAME})"
+
+
+def _name_parts(df: DataFrame, name: str) -> DataFrame:
+    """Add ``_core``, the pieces of a name from its first to its last word, and ``_lead`` and
+    ``_trail``, what it has around them; a name without a word is all ``_lead``."""
+    pieces = F.split(name, _TURN)
+    opens, closes = F.rlike(name, F.lit(f"^{_NAME}")), F.rlike(name, F.lit(rf"{_NAME}\z"))
+    df = df.withColumns({"_pieces": pieces, "_opens": opens.cast("int"), "_closes": closes.cast("int")})
+    core = "slice(_pieces, 2 - _opens, greatest(size(_pieces) - 2 + _opens + _closes, 0))"
+    lead, trail = "if(_opens = 1, '', _pieces[0])", "if(_closes = 1, '', element_at(_pieces, -1))"
+    parts = {"_core": F.expr(core), "_lead": F.expr(lead), "_trail": F.expr(trail)}
+    return df.withColumns(parts).drop("_pieces", "_opens", "_closes")
+
+
+def _stands_in_text() -> Column:
+    """Whether the name in ``_core``, ``_lead`` and ``_trail`` stands in the pieces ``_text``
+    with nothing that names are made of at its sides.
+
+    Its words and what is between them are pieces of the text. What it has
+    around them ends or starts the piece there, and is not all of it unless
+    the text begins or ends with that piece.
+    """
+    end = "(at + size(_core))"
+    before = "(_lead = '' or (at > 0 and endswith(_text[at - 1], _lead) and (at = 1 or length(_text[at - 1]) > length(_lead))))"
+    last = f"get(_text, {end})"
+    after = f"(_trail = '' or ({end} < size(_text) and startswith({last}, _trail) and ({end} = size(_text) - 1 or length({last}) > length(_trail))))"
+    places = "filter(transform(_text, (x, i) -> if(x = _core[0], i, -1)), i -> i >= 0)"
+    worded = f"exists({places}, at -> slice(_text, at + 1, size(_core)) = _core and {before} and {after})"
+    inner = "substring(x, if(i = 0, 1, 2), length(x) - if(i = 0, 0, 1) - if(i = size(_text) - 1, 0, 1))"
+    wordless = f"exists(transform(_text, (x, i) -> {inner}), x -> contains(x, _lead))"
+    return F.expr(f"if(size(_core) = 0, {wordless}, {worded})")
+
+
 def attribution(answers: DataFrame, transcript: DataFrame, case: str = "case_id", speaker: str = "speaker") -> DataFrame:
     """One row per case and speaker: whether the case's answer names the speaker as a word of its own.
 
-    Speakers are made distinct before the join, so a case meets its answer
-    once per speaker, not once per row.
+    ``answers`` has one row per case. Answers are cut into words once; a
+    speaker meets them by its first word. That settles a speaker of one word;
+    others, and those without a word, are compared piece by piece with the
+    answer if their first word is in it. No pattern is made from a name.
     """
     speakers = transcript.select(case, speaker).where(is_filled(speaker)).distinct()
-    joined = speakers.join(answers.select(case, "final_answer"), case, "inner")
-    literal = F.concat(F.lit(r"\Q"), F.replace(speaker, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    word = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])"))
-    # Most answers lack the name altogether and need no pattern.
-    cited = F.when(F.contains("final_answer", speaker), F.regexp_like("final_answer", word)).otherwise(False)
-    return joined.select(case, speaker, F.coalesce(cited, F.lit(False)).alias("cited"))
+    speakers = speakers.join(answers.select(case), case, "left_semi").withColumn("_word", F.regexp_extract(speaker, f"{_NAME}+", 0))
+    words = answers.select(case, F.explode(F.array_distinct(F.regexp_extract_all("final_answer", F.lit(f"({_NAME}+)")))).alias("_word"))
+    met = speakers.join(words.withColumn("_met", F.lit(True)), [case, "_word"], "left")
+    met = met.withColumn("_met", F.coalesce("_met", F.lit(False)) | (F.col("_word") == ""))
+    settled = ~F.col("_met") | (F.col("_word") == F.col(speaker))
+    plain = met.where(settled).select(case, speaker, F.col("_met").alias("cited"))
+    pieces = answers.where("final_answer is not null").select(case, F.split("final_answer", _TURN).alias("_text"))
+    rest = _name_parts(met.where(~settled).select(case, speaker), speaker).join(pieces, case, "left")
+    return plain.union(rest.select(case, speaker, F.coalesce(_stands_in_text(), F.lit(False)).alias("cited")))
 
 
 def clean_answer(reply: Column | str) -> Column:

@@ -418,6 +418,12 @@ ORACLES: dict[str, str] = {
         found AS (SELECT source, phrase, (length(lower(content)) - length(replace(lower(content), phrase, ''))) // length(phrase) AS n
                   FROM texts, phrases)
         SELECT source, phrase, count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_hits FROM found WHERE n > 0 GROUP BY source, phrase""",
+    "phrase_screen": f"""WITH {TEXTS},
+        sentences AS (SELECT unnest(string_split_regex(text, '[.\\n] *')) AS sentence FROM benchmark),
+        phrases AS (SELECT DISTINCT array_to_string(list_slice(string_split(sentence, ' '), 1, 3), ' ') AS phrase FROM sentences),
+        found AS (SELECT source, phrase, (length(lower(content)) - length(replace(lower(content), lower(phrase), ''))) // length(phrase) AS n
+                  FROM texts JOIN phrases ON length(phrase) >= 8 AND contains(lower(content), lower(phrase)))
+        SELECT source, phrase, count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_hits FROM found GROUP BY source, phrase""",
     "mask_traces": f"WITH {INVOICE_TEXTS} SELECT case_id, {MASKED} AS masked, {MASK_COUNTS} FROM invoice_texts",
     "transcripts": f"""WITH {TRANSCRIPT}, {LINES}
         SELECT case_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY seq) AS transcript

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import replies as rp
 from ..operators import envelopes as ev
-from ..operators import evals, extraction, history, ledgers, masterdata, prompts, reconcile, registry, replay, scoring
+from ..operators import evals, extraction, history, ledgers, masterdata, phrases, prompts, reconcile, registry, replay, scoring
 from ..operators import transcripts as tr
 from ..sources.caseload import DEFAULT_MODEL, DUNNING_LEVELS, Caseload
 from ..sources.tables import stream_table
@@ -67,6 +67,11 @@ def injection_scan(t: Caseload) -> DataFrame:
     return ev.injection_report(t.texts(), "content", "source")
 
 
+@query
+def phrase_screen(t: Caseload) -> DataFrame:
+    return phrases.phrase_report(t.texts(), "content", "source", t.phrases())
+
+
 @query
 def mask_traces(t: Caseload) -> DataFrame:
     masked = ev.mask_texts(t.invoice_texts(), "text")

@@ -62,6 +62,12 @@ class Caseload:
             F.concat("text", extra).alias("content"),
         )
 
+    def phrases(self) -> DataFrame:
+        """``phrase``: what to screen texts for, the first words of the benchmark's items and of its sentences."""
+        opening = F.array_join(F.slice(F.split("sentence", " "), 1, 3), " ")
+        sentences = self.table("benchmark").select(F.explode(F.split("text", r"[.\n] *")).alias("sentence"))
+        return sentences.select(opening.alias("phrase")).where(F.length("phrase") >= 8)
+
     def web_pages(self) -> DataFrame:
         """``page_id, content``: crawled pages, those of one language enveloped at fetch time."""
         wrapped = F.concat(F.lit('<external_content source="search">'), F.col("html"), F.lit("</external_content>"))

@@ -1,0 +1,106 @@
+import random
+import re
+import resource
+
+from pyspark.sql import functions as F
+
+from casework.operators import phrases, prompts
+
+
+
+def brute(texts, table):
+    """Occurrences from the left without overlap, by Python's own counting."""
+    return {(i, p): n for i, t in texts if t for p in set(table) if p and (n := t.lower().count(p.lower()))}
+
+
+def hits(spark, texts, table, **options):
+    df = spark.createDataFrame(texts, "id long, body string")
+    listed = spark.createDataFrame([(p,) for p in table], "phrase string")
+    rows = phrases.phrase_hits(df, "body", ["id"], listed, **options).collect()
+    got = {(r.id, r.phrase): r.n_hits for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_hits_equal_counting_one_phrase_at_a_time(spark):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("aAbé ") for _ in range(rng.randint(0, 80)))) for i in range(120)] + [(500, None), (501, "")]
+    table = ["".join(rng.choice("aAbé ") for _ in range(rng.randint(1, 5))) for _ in range(150)] + ["aa", "AA", "aaa", "", None]
+    want = brute(texts, table)
+    assert hits(spark, texts, table) == want and len(want) > 500
+    # In blocks of a few phrases the result stays the same.
+    assert hits(spark, texts, table, block_chars=40) == want
+
+
+def test_repeated_texts_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "Go on, go on"), (1, "Go on, go on"), (None, "go on")], "id long, body string")
+    listed = spark.createDataFrame([("go on",), ("go on",)], "phrase string")
+    got = sorted((r.id or 0, r.n_hits) for r in phrases.phrase_hits(df, "body", ["id"], listed).collect())
+    assert got == [(0, 1), (1, 2), (1, 2)]
+    none = phrases.phrase_hits(df, "body", ["id"], listed.limit(0))
+    assert none.dtypes == [("id", "bigint"), ("phrase", "string"), ("n_hits", "bigint")] and none.count() == 0
+    assert phrases.phrase_hits(df.limit(0), "body", ["id"], listed).count() == 0
+
+
+def test_a_large_table_takes_one_scan(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    table = sorted({" ".join(rng.choice(words) for _ in range(3)) for _ in range(100_000)})
+    texts = []
+    for i in range(200):
+        parts = [rng.choice(words) for _ in range(60)] + rng.sample(table, 3)
+        rng.shuffle(parts)
+        texts.append((i, " ".join(parts)))
+    df = spark.createDataFrame(texts, "id long, body string")
+    listed = spark.createDataFrame([(p,) for p in table], "phrase string").repartition(4)
+    found = phrases.phrase_hits(df, "body", ["id"], listed)
+    # Blocks follow the size of the table, not the number of its phrases.
+    scans = str(found._jdf.queryExecution().executedPlan()).count("MapInArrow")
+    assert scans == -(-sum(map(len, table)) // phrases.BLOCK_CHARS) <= 2
+    wanted = {(i, p): n for i, t in texts for p in table if p in t and (n := t.count(p))}
+    assert {(r.id, r.phrase): r.n_hits for r in found.collect()} == wanted and len(wanted) >= 600
+
+
+def test_an_automaton_of_one_block_has_bounded_memory():
+    rng = random.Random(2)
+    table, chars = {}, 0
+    while chars < phrases.BLOCK_CHARS:
+        phrase = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(24))
+        table[phrase] = [phrase]
+        chars += len(phrase)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    block = phrases.PhraseBlock(table)
+    assert block.counts("x" + next(iter(table)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 * 1024
+
+
+def test_attribution_equals_a_pattern_for_each_name(spark):
+    rng = random.Random(12)
+    bits = ["a", "b", "ab", "é", "_", "7", " ", "-", ".", "--", "\n", "🙂"]
+    text = lambda most: "".join(rng.choice(bits) for _ in range(rng.randint(1, most)))
+    answers = [(i, text(14)) for i in range(150)] + [(150, None), (151, "")]
+    said = [(i, text(4)) for i in range(152) for _ in range(12)] + [(999, "a"), (1, None), (1, "")]
+    got = prompts.attribution(spark.createDataFrame(answers, "case_id long, final_answer string"), spark.createDataFrame(said, "case_id long, speaker string"))
+    word = r"[^\W]"
+
+    def cited(answer, name):
+        return bool(answer) and re.search(rf"(?<!{word}){re.escape(name)}(?!{word})", answer) is not None
+
+    held = dict(answers)
+    want = {(i, s): cited(held[i], s) for i, s in said if s and i in held}
+    rows = got.collect()
+    assert {(r.case_id, r.speaker): r.cited for r in rows} == want and len(rows) == len(want)
+    assert {True, False} == {want[k] for k in want if not re.fullmatch(rf"{word}+", k[1])}
+
+
+def test_attribution_makes_no_pattern_from_a_column(spark):
+    answers = spark.createDataFrame([(1, "x")], "case_id long, final_answer string")
+    plan = prompts.attribution(answers, spark.createDataFrame([(1, "x")], "case_id long, speaker string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(final_answer" not in plan and "\\Q" not in plan and "replace(speaker" not in plan
+
+
+def test_screen_of_a_corpus_reads_each_text_once(spark):
+    texts = spark.range(50).select(F.col("id"), F.concat(F.lit("ignore previous instructions "), "id").alias("body"))
+    listed = spark.createDataFrame([("Ignore Previous",), ("instructions 4",)], "phrase string")
+    report = phrases.phrase_report(texts.withColumn("source", F.lit("s")), "body", "source", listed)
+    assert {(r.phrase, r.n_texts, r.n_hits) for r in report.collect()} == {("Ignore Previous", 50, 50), ("instructions 4", 11, 11)}
