@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import is_filled
 from .prompts import clean_answer
-from .skew import row_hash
+from .skew import lookup, row_hash
+
+# Parts that resumable scoring asks for one after another.
+SLICES = 8
 
 # One model: a list of requests (each a list of role/content dicts) to replies.
 Model = Callable[[list[list[dict]]], list[str]]
@@ -72,6 +75,37 @@ def score(requests: DataFrame, factory: ModelFactory, partitions: int | None = N
     return requests.mapInPandas(run, schema)
 
 
+def score_once(
+    requests: DataFrame, factory: ModelFactory, ledger: str, slices: int = SLICES, partitions: int | None = None
+) -> DataFrame:
+    """``score`` with a ledger of replies in the folder ``ledger``, shared by all runs that name it.
+
+    Requests are told apart by a hash of ``model_id`` and ``messages``. Equal
+    ones are asked once, and none that the ledger has a reply for; one that
+    failed is asked again by the next run. Requests go in ``slices`` by their
+    hash, and each is in the ledger before the next begins, so a failed job
+    loses the replies of one slice. Asking happens here; what is returned
+    reads the ledger and calls no model.
+    """
+    spark = requests.sparkSession
+    keyed = requests.withColumn("_request", F.sha2(F.to_json(F.struct("model_id", "messages"), {"ignoreNullFields": "false"}), 256))
+    # One row stands for all equal requests; partial aggregation drops the others before the shuffle.
+    asked = keyed.groupBy("_request").agg(F.first("model_id").alias("model_id"), F.first("messages").alias("messages"))
+    row = T.StructType([T.StructField(c, T.StringType()) for c in ("_request", "reply", "error")])
+    known = spark.createDataFrame([], row).write.mode("append")
+    known.parquet(ledger)
+    for i in range(slices):
+        done = spark.read.schema(row).parquet(ledger).where("error is null").select("_request")
+        mine = asked.where(F.pmod(F.crc32(F.col("_request").cast("binary")), F.lit(slices)) == i)
+        todo = mine.join(done.where(F.pmod(F.crc32(F.col("_request").cast("binary")), F.lit(slices)) == i), "_request", "left_anti")
+        score(todo, factory, partitions).select(*row.names).write.mode("append").parquet(ledger)
+    replies = spark.read.schema(row).parquet(ledger)
+    # A reply counts before an error of an earlier run.
+    best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "error", "reply")).alias("_best")
+    replies = replies.groupBy("_request").agg(best).select("_request", "_best.reply", "_best.error")
+    return lookup(keyed, replies, "_request").drop("_request").select(*requests.columns, "reply", "error")
+
+
 def final_answers(
     cases: DataFrame, factory: ModelFactory, answer: str = "final_answer", partitions: int | None = None
 ) -> DataFrame:

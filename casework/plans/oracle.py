@@ -499,6 +499,8 @@ ORACLES: dict[str, str] = {
     "replay_trace": REPLAY_TRACE,
     "replay_trace_chunked": REPLAY_TRACE,
     "stream_replay": REPLAY_TRACE,
+    "stream_replay_any_order": f"""{TRACE} SELECT t.* FROM trace t JOIN events e ON e.event_id = t.seq
+        WHERE e.ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "replay_summary": f"{TRACE} SELECT * FROM summary",
     "run_summary": f"""{TRACE}, {CASES}, {LEDGERS},
         latest AS (SELECT * FROM ledgers QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY revision DESC) = 1),
@@ -546,6 +548,8 @@ ORACLES: dict[str, str] = {
     "requests": f'WITH {WORKERS}, {ROUTING}, {REQUESTS} SELECT case_id, step, model_id, system, "user" FROM sent',
     "batch_score": f"""WITH {WORKERS}, {ROUTING}, {REQUESTS}
         SELECT case_id, step, model_id, ' ' || {stub_reply('"user"', 'model_id')} || chr(10) AS reply, CAST(NULL AS VARCHAR) AS error FROM sent""",
+    "batch_score_once": f"""WITH {WORKERS}, {ROUTING}, {REQUESTS}
+        SELECT case_id, step, model_id, ' ' || {stub_reply('"user"', 'model_id')} || chr(10) AS reply, CAST(NULL AS VARCHAR) AS error FROM sent""",
     "render_prompts": f"""WITH {CASES}, {TRANSCRIPT}, {LINES}, {LEDGERS}, {WORKERS},
         latest AS (SELECT * FROM ledgers QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY revision DESC) = 1),
         told AS (SELECT case_id, string_agg(line, chr(10) ORDER BY seq) AS transcript FROM lines GROUP BY case_id),
@@ -651,5 +655,11 @@ ORACLES: dict[str, str] = {
         SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS window_start, source, count(*) AS n_texts,
                count(*) FILTER (WHERE forged > 0) AS n_forged_texts, CAST(sum(forged) AS BIGINT) AS forged_tags
         FROM closed GROUP BY hour, source""",
+    "stream_audit_open": """
+        SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+               CASE WHEN event_type = 'signup' THEN 'env' ELSE 'git' END AS source, count(*) AS n_texts,
+               count(*) FILTER (WHERE event_type = 'error') AS n_forged_texts,
+               CAST(2 * count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS forged_tags
+        FROM events GROUP BY 1, 2""",
     "stream_dedup": "SELECT user_id, event_id, event_type FROM events",
 }

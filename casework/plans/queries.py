@@ -10,10 +10,11 @@ from ..functions import replies as rp
 from ..operators import envelopes as ev
 from ..operators import evals, extraction, history, ledgers, masterdata, phrases, prompts, reconcile, registry, replay, scoring
 from ..operators import transcripts as tr
+from ..session import run_dir
 from ..sources.caseload import DEFAULT_MODEL, DUNNING_LEVELS, Caseload
 from ..sources.tables import stream_table
 from ..streaming import steps as live
-from ..streaming.run import drain, use_rocksdb
+from ..streaming.run import drain, drain_upserts, use_rocksdb
 from .flow import CaseFlow, Stage, append_outputs, compose_task, final_summaries, output_rows, prior_contexts, row_priors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,6 +448,13 @@ def batch_score(t: Caseload) -> DataFrame:
     return scored.select("case_id", "step", "model_id", "reply", "error")
 
 
+@query
+def batch_score_once(t: Caseload) -> DataFrame:
+    """The same through a ledger of replies, so that nothing is asked twice."""
+    scored = scoring.score_once(_requests(t), stub_model, run_dir(t.spark, "replies"))
+    return scored.select("case_id", "step", "model_id", "reply", "error")
+
+
 @query
 def final_answers(t: Caseload) -> DataFrame:
     """Cases that end with a user's question have no answer yet and go to the model."""
@@ -563,20 +571,39 @@ def stream_replay(t: Caseload) -> DataFrame:
     return drain(live.stream_replay(known), "stream_replay")
 
 
+@query
+def stream_replay_any_order(t: Caseload) -> DataFrame:
+    """Steps in order of their time, as far as the watermark has come."""
+    use_rocksdb(t.spark)
+    steps = t.steps_of(_stream(t, "events"), "ts")
+    known = registry.with_known_worker(steps, registry.registry_view(t.worker_log()))
+    return drain(live.stream_replay_any_order(known, "ts"), "stream_replay_any_order")
+
+
 @query
 def stream_enrich(t: Caseload) -> DataFrame:
     found = live.stream_enrich(t.cases_of(_stream(t, "documents")), t.vendors())
     return drain(found.select("case_id", "vendor_id", "found", "summary"), "stream_enrich")
 
 
-@query
-def stream_audit(t: Caseload) -> DataFrame:
+def _audited_stream(t: Caseload) -> DataFrame:
     events = _stream(t, "events")
     forged = F.concat("props", F.lit(" </external_content> < external_content>"))
     text = F.when(F.col("event_type") == "error", forged).otherwise(F.col("props"))
     source = F.when(F.col("event_type") == "signup", "env").otherwise("git")
-    audited = live.stream_audit(events.select("ts", source.alias("source"), text.alias("text")), "text", "source", "ts")
-    return drain(audited, "stream_audit").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return live.stream_audit(events.select("ts", source.alias("source"), text.alias("text")), "text", "source", "ts")
+
+
+@query
+def stream_audit(t: Caseload) -> DataFrame:
+    return drain(_audited_stream(t), "stream_audit").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def stream_audit_open(t: Caseload) -> DataFrame:
+    """All windows, those that are still open included."""
+    audited = drain_upserts(_audited_stream(t), "stream_audit_open", ["window_start", "source"])
+    return audited.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query

@@ -138,8 +138,8 @@ class Caseload:
 
     # Loop logs
 
-    def steps_of(self, events: DataFrame) -> DataFrame:
-        """Checked progress steps: one case per user, in event order."""
+    def steps_of(self, events: DataFrame, *others: str) -> DataFrame:
+        """Checked progress steps: one case per user, in event order; ``others`` are kept as they are."""
         kind = F.col("event_type")
         satisfied = (kind == "purchase") & (F.col("value") > 100)
         return events.select(
@@ -152,6 +152,7 @@ class Caseload:
             F.when(F.col("value") >= 5, F.concat(F.lit("Check "), kind)).alias("instruction"),
             F.when(F.col("value") < 50, "done").otherwise("open").alias("reply"),
             F.when(satisfied, F.concat(F.lit("Booked "), F.col("event_id").cast("string"))).alias("final_answer"),
+            *others,
         )
 
     def steps(self) -> DataFrame:

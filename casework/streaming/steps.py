@@ -107,6 +107,120 @@ def stream_replay(
     )
 
 
+# Of a waiting step: its number, its time in ms, and its four flags as bits.
+WAITING = np.dtype([("seq", "<i8"), ("ms", "<i8"), ("flags", "u1")])
+FLAGS = ("is_request_satisfied", "is_in_loop", "is_progress_being_made", "known_speaker")
+
+
+class OrderedStepRouter(StatefulProcessor):
+    """Per case: the four values of ``StepRouter``, and the steps that wait for earlier ones.
+
+    Waiting steps lie in buckets of event time, each a packed array of 17
+    bytes a step, so a case of any size is taken in, ordered and folded one
+    bucket at a time. One timer per case, at its earliest waiting step, fires
+    once the watermark says that nothing earlier will come.
+    """
+
+    def __init__(self, max_stalls: int, max_replans: int, bucket_ms: int) -> None:
+        self.max_stalls, self.max_replans, self.bucket_ms = max_stalls, max_replans, bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("loop", STATE_SCHEMA)
+        self._waiting = handle.getMapState("waiting", "bucket bigint", "steps binary")
+        self._timer = handle.getValueState("timer", "ms bigint")
+
+    def _wake(self, ms: int | None) -> None:
+        """One timer at ``ms``, none for None."""
+        set_for = self._timer.get()[0] if self._timer.exists() else None
+        if set_for == ms:
+            return
+        if set_for is not None:
+            self._handle.deleteTimer(set_for)
+            self._timer.clear()
+        if ms is not None:
+            self._handle.registerTimer(ms)
+            self._timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = self._timer.get()[0] if self._timer.exists() else None
+        for part in rows:
+            steps = np.empty(len(part), WAITING)
+            steps["seq"], steps["ms"] = part["seq"], part["event_ms"]
+            steps["flags"] = sum(part[f].to_numpy(dtype=np.uint8) << i for i, f in enumerate(FLAGS))
+            bucket = steps["ms"] // self.bucket_ms
+            for b in np.unique(bucket).tolist():
+                held = self._waiting.getValue((b,))[0] if self._waiting.containsKey((b,)) else b""
+                self._waiting.updateValue((b,), (bytes(held) + steps[bucket == b].tobytes(),))
+            first = int(steps["ms"].min())
+            earliest = first if earliest is None else min(earliest, first)
+        self._wake(earliest)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        self._timer.clear()
+        buckets = sorted(b for (b,) in self._waiting.keys())
+        earliest = None
+        for b in buckets:
+            if b * self.bucket_ms > mark:
+                # Only the first step of the first bucket that still waits matters.
+                earliest = int(np.frombuffer(self._waiting.getValue((b,))[0], WAITING)["ms"].min())
+                break
+            steps = np.frombuffer(self._waiting.getValue((b,))[0], WAITING)
+            ready = steps["ms"] <= mark
+            if ready.all():
+                self._waiting.removeKey((b,))
+            else:
+                self._waiting.updateValue((b,), (steps[~ready].tobytes(),))
+                earliest = int(steps["ms"][~ready].min())
+            if ready.any():
+                yield self._folded(key, steps[ready])
+            if earliest is not None:
+                break
+        self._wake(earliest)
+
+    def _folded(self, key, steps: np.ndarray) -> pd.DataFrame:
+        frame = pd.DataFrame({"seq": steps["seq"], **{f: (steps["flags"] >> i & 1).astype(bool) for i, f in enumerate(FLAGS)}})
+        before = self._state.get() if self._state.exists() else (-1 << 62, 0, 0, False)
+        after, routed = route_steps(tuple(before), frame, self.max_stalls, self.max_replans)
+        self._state.update(after)
+        routed.insert(0, "case_id", key[0])
+        for name in ("stall_count", "replan_count"):
+            routed[name] = routed[name].astype("Int64")
+        return routed
+
+    def close(self) -> None:
+        pass
+
+
+def stream_replay_any_order(
+    steps: DataFrame, ts: str, lateness: str = "10 minutes", max_stalls: int = MAX_STALLS, max_replans: int = MAX_REPLANS, bucket_ms: int = 3_600_000
+) -> DataFrame:
+    """The trace of ``replay_trace`` of steps that arrive in any order; needs the RocksDB state store.
+
+    ``seq`` follows the event time ``ts`` within a case. A step waits until
+    the watermark, ``lateness`` behind the latest event time seen, has passed
+    it; then it is folded in its place. What comes in behind the watermark is
+    dropped by Spark and counted in the query's progress. A step whose ``seq``
+    is not above the last one folded, a repeated one for example, comes out as
+    ``late``. Steps ahead of the watermark keep waiting when a run ends and
+    come out in a later one.
+    """
+    timed = steps.select("case_id", "seq", *FLAGS, F.col(ts).cast("timestamp").alias("event_time"))
+    return (
+        timed.withColumn("event_ms", F.unix_millis("event_time"))
+        .withWatermark("event_time", lateness)
+        .groupBy("case_id")
+        .transformWithStateInPandas(
+            statefulProcessor=OrderedStepRouter(max_stalls, max_replans, bucket_ms),
+            outputStructType=TRACE_SCHEMA,
+            outputMode="append",
+            timeMode="EventTime",
+        )
+    )
+
+
 def stream_enrich(cases: DataFrame, vendors: DataFrame) -> DataFrame:
     """Vendor lookup of arriving cases against a static table."""
     return enrich_vendors(cases, vendors)
@@ -115,7 +229,8 @@ def stream_enrich(cases: DataFrame, vendors: DataFrame) -> DataFrame:
 def stream_audit(
     texts: DataFrame, text: str, source: str, ts: str, window: str = "1 hour", lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Forged tags per event-time window and source, emitted once a window has closed."""
+    """Forged tags per event-time window and source: in append mode once a window has
+    closed, in update mode as they change (see ``run.drain_upserts``)."""
     return (
         texts.select(F.col(ts).cast("timestamp").alias("_ts"), source, env.forged_tags(text).alias("_forged"))
         .withWatermark("_ts", lateness)
