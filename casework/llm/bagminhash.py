@@ -9,10 +9,12 @@ order of time and only while they can still change a register, so a text
 needs little more than one point per shingle. Two texts agree in a register
 with a probability that equals their weighted Jaccard similarity.
 
-Registers are banded into buckets. In each bucket the smallest class is
-compared with the others by exact multiset overlap; members that remain apart
+Registers are banded into buckets. In each bucket one class, the one that meets
+most others over all buckets, is compared with the rest by exact multiset
+overlap: in a group of edited copies that is the text they come from. Members that remain apart
 are then settled among themselves, block by block, so no link is lost to a
-poor choice of the first. No pair list of a group is ever made.
+poor choice of the first. A block counts all overlaps at once, as a product of
+its incidence matrix, and tells only what it connects: no pair list of a group is ever made.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.skew import HotKeys
 from .common import id_filter, id_key, quoted, stage, text_slices
 from .graph import components
 from .words import LETTERS, U, mix, text_windows, word_hashes
@@ -33,11 +35,12 @@ SIMILARITY = 0.8
 REGISTERS = 128
 # At 0.8 a pair shares no bucket with a probability of 5e-8.
 BANDS = 32
-# Signatures of a pair of that similarity agree in less than 62 % of the
-# registers with a probability of about 1e-6.
-ESTIMATE = 0.62
 # Members that one task compares with each other at most, per block.
 BLOCK = 1024
+# Pairs of one hub that one task of a join takes, about.
+HUB_PAIRS = 4096
+# Distinct items that an incidence matrix has at a time.
+COLUMNS = 2048
 # Points that a round makes in all, while few cells are left.
 ROUND_POINTS = 1 << 15
 
@@ -143,9 +146,18 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose multisets overlap enough, by exact count."""
+    """Pairs (a, b) whose multisets overlap enough, by exact count. A node may be
+    the ``a`` of any number of pairs: beyond ``HUB_PAIRS`` they are dealt over parts."""
+    pairs = stage(pairs, "pairs")
+    parts = F.ceil(F.col("n") / HUB_PAIRS).cast("int").alias("_parts")
+    hot = HotKeys.of(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_PAIRS).select("a", parts), ["a"])
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    of_a, on = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), ["a"]
+    if hot is not None:
+        dealt, on = F.coalesce("_parts", F.lit(1)), ["a", "part"]
+        with_b = hot.added_to(with_b).withColumn("part", F.pmod(F.xxhash64("b"), dealt).cast("int")).drop("_parts")
+        of_a = hot.added_to(of_a).withColumn("part", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("_parts")
+    both = with_b.join(of_a, on)
     sizes = F.size("x"), F.size("y")
     # The sizes alone rule out many pairs.
     both = both.where(F.least(*sizes) >= least * F.greatest(*sizes))
@@ -153,39 +165,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(F.col("m") >= least * (F.col("n") - F.col("m"))).select("a", "b")
 
 
-def _settled(rest: DataFrame, least: float) -> DataFrame:
-    """Links between members of a block of a bucket that are still apart.
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node within two links. Nodes of one label
+    are connected; connected nodes may have several."""
+    both = links.union(links.select("b", "a"))
+    near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    further = both.join(near.select(F.col("node").alias("b"), "component"), "b")
+    return further.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+
+
+def overlaps(items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many items every two of n sets share; ``items`` are those of all sets, one after the other."""
+    n = len(offsets) - 1
+    values, code = np.unique(items, return_inverse=True)
+    several = np.bincount(code, minlength=len(values)) > 1
+    # An item of one set alone is shared with none.
+    number = np.cumsum(several) - 1
+    held = several[code]
+    owner, column = np.repeat(np.arange(n), np.diff(offsets))[held], number[code[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for start in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        incidence = np.zeros((n, COLUMNS), np.float32)
+        incidence[owner[a:b], column[a:b] - start] = 1
+        out += incidence @ incidence.T
+    return out
+
+
+def connections(component: np.ndarray, items: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Members (i, j) of two components each, enough to connect all components that similar members lead to."""
+    firsts, group = np.unique(component, return_index=True, return_inverse=True)[1:]
+    shared, sizes = overlaps(items, offsets).astype(np.float64), np.diff(offsets)
+    near = shared >= least * (sizes[:, None] + sizes[None, :] - shared)
+    p, q = (group[i] for i in np.nonzero(near & (group[:, None] != group[None, :])))
+    root = np.arange(len(firsts))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, p, before[q])
+        if (root == before).all():
+            break
+    return [(int(firsts[r]), int(firsts[c])) for c, r in enumerate(root.tolist()) if r != c]
 
-    Rows: bucket, block, node, component, _sig, items. A union-find over the
-    block skips pairs that are connected by then; members closest to the
-    block's most frequent registers come first, so a group around one text
-    falls together at once.
-    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node").reset_index(drop=True)
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in frame["_sig"]])
-        ordered = np.sort(sig, axis=0)
-        middle = ordered[len(sig) // 2]
-        rank = np.argsort(-(sig == middle).sum(1), kind="stable")
-        sig = sig[rank]
-        nodes = frame["node"].to_numpy()[rank]
-        sets = [np.asarray(frame["items"][i], np.int64) for i in rank]
-        _, group = np.unique(frame["component"].to_numpy()[rank], return_inverse=True)
-        links = []
-        for i in range(len(nodes)):
-            apart = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            near = apart[(sig[apart] == sig[i]).mean(1) >= ESTIMATE] if len(apart) else apart
-            for j in near.tolist():
-                if group[i] == group[j]:
-                    continue
-                m = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if m >= least * (len(sets[i]) + len(sets[j]) - m):
-                    links.append((nodes[i], nodes[j]))
-                    group[group == group[j]] = group[i]
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    return rest.groupBy("bucket", "block").applyInPandas(run, "a long, b long")
+def _settled(rest: DataFrame, least: float) -> DataFrame:
+    """Links that connect what members of a block of a bucket have in common
+    beyond their components. Rows: bucket, block, node, component, items."""
+    names = ["bucket", "block", "node", "component", "items"]
+
+    def links(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = group.column("items").combine_chunks()
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        items = column.values.to_numpy()[offsets[0] : offsets[-1]]
+        node = group.column("node").to_numpy()
+        found = connections(group.column("component").to_numpy(), items, offsets - offsets[0], least)
+        if found:
+            a, b = (node[list(c)] for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            bucket, block = (held.column(c).to_numpy() for c in names[:2])
+            turns = (np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
+            # The last group may go on in the next batch.
+            for start, stop in zip([0, *turns], turns, strict=False):
+                yield from links(held.slice(start, stop - start))
+            if turns:
+                held = held.slice(turns[-1])
+        if held is not None:
+            yield from links(held)
+
+    rows = rest.select(*names).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -193,8 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     text), ``group_id`` (smallest id that links of ``least`` or more lead to)
     and ``kept`` (it is the group's first).
 
-    A null text counts as empty; empty texts equal each other and link with
-    nothing else. A null id takes a key made from its text, shown as
+    A null text counts as empty; texts without a word link with nothing but
+    equal ones. A null id takes a key made from its text, shown as
     ``class_id`` and ``group_id``. Groups are of texts: rows that share an id
     but not a text may be in different groups. Other columns are not read.
     """
@@ -220,8 +275,11 @@ def _grouped(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame
     width = 4 * REGISTERS // BANDS
     band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(_sig, i * {width} + 1, {width})))"))
     banded = signed.select("node", band.alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
-    crowd = stage(banded.join(shared.select("bucket", "hub"), "bucket"), "buckets")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stage(banded.join(shared, "bucket"), "buckets")
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = met.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
+    crowd = stage(met.drop("n").join(hubs.select("bucket", (-F.col("top.minus")).alias("hub")), "bucket"), "hubs")
 
     involved = crowd.select("node").distinct()
     asked = stage(first.join(involved, "node", "left_semi"), "asked")
@@ -230,10 +288,10 @@ def _grouped(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame
     sets = stage(_sets(texts.dropDuplicates(["_k", "_text_id"]).select("node", "_text")), "shingle-sets")
     pairs = crowd.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(_verified(pairs, sets, least), "links")
-    joined = components(links)
+    labels = _labels(links)
 
     # Buckets whose members are not all connected yet; of those with the same members one is enough.
-    placed = crowd.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = crowd.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     h = F.xxhash64("node")
     open_ = placed.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"), F.min("component").alias("c"), F.max("component").alias("d")
@@ -244,8 +302,7 @@ def _grouped(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame
     # A member meets every block once: block (i, j) holds the members of i and of j.
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
     rest = rest.withColumn("other", other).withColumn("block", F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other"))
-    rest = rest.select("bucket", "block", "node", "component").join(signed, "node").join(sets, "node")
-    more = _settled(rest, least)
+    more = _settled(rest.select("bucket", "block", "node", "component").join(sets, "node"), least)
     final = components(stage(links.union(more), "all-links"))
     linked = classes.select("node", "class_id").join(final, "node")
     heads = linked.groupBy("component").agg(F.min(F.struct("class_id", "node")).alias("head"))

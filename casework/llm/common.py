@@ -75,7 +75,8 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS):
         F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")
     )
     table = np.zeros(bits // 64, np.int64)
-    for word, value in words.toLocalIterator():
+    # Of fixed size, so one task may hand it over; else each partition would be a job.
+    for word, value in words.repartition(1).toLocalIterator():
         table[word] = value
     shared = spark.sparkContext.broadcast(table)
 
