@@ -18,11 +18,13 @@ def registry_view(log: DataFrame) -> DataFrame:
     first. A worker without a role has its name as role.
     """
     fields = [c for c in WORKER_FIELDS if c in log.columns]
-    named = Window.partitionBy("name")
-    places = log.select("name", "reg_seq", *fields).withColumns(
-        {"position": F.min("reg_seq").over(named), "_place": F.row_number().over(named.orderBy(F.col("reg_seq").desc()))}
-    )
-    view = places.where("_place = 1").select("name", "position", *fields)
+    rows = log.select("name", "reg_seq", *fields)
+    # Ranked alone, so that Spark drops rows that cannot be the last before it
+    # shuffles them; first places come from a partial aggregate.
+    newest = Window.partitionBy("name").orderBy(F.col("reg_seq").desc())
+    last = rows.withColumn("_place", F.row_number().over(newest)).where("_place = 1").select(F.col("name").alias("_name"), *fields)
+    first = rows.groupBy("name").agg(F.min("reg_seq").alias("position"))
+    view = first.join(last, F.col("name").eqNullSafe(F.col("_name"))).select("name", "position", *fields)
     role = F.col("role") if "role" in fields else F.lit(None).cast("string")
     return view.withColumn("role", F.when(is_filled(role), role).otherwise(F.col("name")))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -26,14 +27,47 @@ MAX_CHUNKS = 4_096
 # Bounds under which a dimension is broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Estimates are taken at their word only if they are this far beyond a bound.
+FAR = 64
+# Bytes of a row of key and order at least, by which a small table is told to have no hot key.
+LEAST_ROW_BYTES = 16
+# Ranges that a hot key is cut into for each that its rows would fill: an uneven
+# order then fits in one round, mostly.
+RANGES = 4
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate from file sizes and the plan; no data is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and rows that ``df`` is made from, as the optimiser knows them; no data is read."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def _value_bytes(field: T.StructField) -> Column:
+    """Bytes that a value takes, about; texts by their length, nested values by that of their JSON."""
+    value = F.col("`" + field.name.replace("`", "``") + "`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 4
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return F.lit(16 if isinstance(field.dataType, T.DecimalType) else 8)
 
 
 def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Count the rows and bytes of ``dim`` in one pass; only the partial counts are shuffled."""
-    if rows <= 0 or size <= 0:
+    """Whether ``dim`` has at most so many rows and bytes.
+
+    What the optimiser takes for ``FAR`` times too large is not read at all;
+    its estimate may be wrong by less. Else rows and bytes are counted in one
+    pass, of which only partial counts are shuffled.
+    """
+    if rows <= 0 or size <= 0 or estimated_bytes(dim) > FAR * size:
         return False
-    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns]))
-    n, n_bytes = dim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(record)), F.lit(0))).first()
+    record = reduce(lambda a, b: a + b, [_value_bytes(f) for f in dim.schema.fields], F.lit(0))
+    n, n_bytes = dim.agg(F.count(F.lit(1)), F.coalesce(F.sum(record.cast("bigint")), F.lit(0))).first()
     return n <= rows and n_bytes <= size
 
 
@@ -164,10 +198,14 @@ class OrderedLog:
         chunk still too large, from an uneven ``seq``, is cut again; each
         round at least halves its range. What shares one ``seq`` is cut by
         ``ties`` and then by a hash of the row, as such rows have no order
-        among themselves; only rows equal in every column stay together.
+        among themselves; only rows equal in every column stay together. A
+        table made from inputs too small to have a hot key is not looked at:
+        without a cut results are the same.
         """
-        hashed = row_hash(df)
         counted = (df if counts_from is None else counts_from).select(key, seq)
+        if input_bytes(counted) <= rows_per_chunk * LEAST_ROW_BYTES:
+            return cls(df, key, seq, (), tuple(ties))
+        hashed = row_hash(df)
         chunks: list[str] = []
         nulls = False
         while True:
@@ -181,7 +219,7 @@ class OrderedLog:
                 )
                 .where(F.col("_n") > rows_per_chunk)
             )
-            parts = F.least(F.ceil(F.col("_n") / rows_per_chunk), F.lit(MAX_CHUNKS))
+            parts = F.least(F.ceil(F.col("_n") / rows_per_chunk) * RANGES, F.lit(MAX_CHUNKS))
             width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts), F.lit(1)).cast("bigint")
             hot = HotKeys.of(stats.where("_hi > _lo").select(*by, "_lo", width.alias("_width")), by)
             if hot is None:
