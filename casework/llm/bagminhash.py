@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import HotKeys
-from .common import id_filter, id_key, quoted, stage, text_slices
+from .common import brought_back, id_filter, id_key, quoted, set_apart, stage, text_slices
 from .graph import components
 from .words import LETTERS, U, mix, text_windows, word_hashes
 
@@ -315,9 +315,10 @@ def _grouped(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id, and of
     rows that repeat that id with that text one. Only rows that may have to go
-    are shuffled."""
+    are shuffled. All columns stay, whatever their names."""
     found = stage(_grouped(docs, id_col, text, least).select("_k", "_text_id", "kept"), "groups")
-    return _keep_first(docs, found, id_col, text)
+    apart, names = set_apart(docs)
+    return brought_back(_keep_first(apart, found, names[id_col], names[text]), names)
 
 
 def _keep_first(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -31,6 +31,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with every column under a name that no operator uses, and those names by the columns' own."""
+    names = {c: f"_own{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[quoted(c).alias(n) for c, n in names.items()]), names
+
+
+def brought_back(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns of ``set_apart`` under their own names, and ``more`` of ``df``."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()], *more)
+
+
 def id_key(df: DataFrame, id_col: str, text_col: str) -> Column:
     """A key that is never null: the id, or for a null id a negative hash of the text."""
     text = F.coalesce(quoted(text_col), F.lit(""))

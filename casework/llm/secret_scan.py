@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import quoted, stage
+from .common import brought_back, quoted, set_apart, stage
 
 # The patterns of the strong kinds, in the order of the kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -120,7 +120,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     part are never shuffled; the others meet their parts by a hash of the row.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("strong", "spans")])
-    value = F.coalesce(quoted(text), F.lit(""))
+    docs, names = set_apart(docs)
+    value = F.coalesce(F.col(names[text]), F.lit(""))
     plain_cols = [quoted(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
     found = docs.select("*", strong_spans(value).alias("strong"), weak_spans(value).alias("_weak"))
     plain = found.where(F.size("_weak") == 0).drop("_weak").withColumn("spans", F.col("strong"))
@@ -128,7 +129,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = stage(keyed.select("_k1", "_k2", F.col("strong").alias("_strong"), "_weak").dropDuplicates(["_k1", "_k2"]), "weak-parts")
     linked = keyed.drop("_weak").join(_confirmed(rows), ["_k1", "_k2"], "left")
     linked = linked.withColumn("spans", F.array_sort(F.concat("strong", F.coalesce("_added", _none()))))
-    return plain.unionByName(linked.drop("_k1", "_k2", "_added"))
+    return brought_back(plain.unionByName(linked.drop("_k1", "_k2", "_added")), names, "strong", "spans")
 
 
 def told(spans: Column) -> Column:
