@@ -10,6 +10,7 @@ from ..functions.text import first_match
 from .registry import with_known_worker
 from .skew import WIDE_ROWS_PER_CHUNK, OrderedLog, row_hash
 
+# Fixed value: what stands for a missing ledger.
 NO_LEDGER = "(none)"
 STEP = r"(?s)^\[([^\]]+)\]\s*(.*)$"
 

@@ -107,6 +107,54 @@ def age_open_items(
     ).withColumn("escalate", F.col("dunning_level") > F.coalesce(F.col(current), F.lit(0)))
 
 
+def age_open_items_by(
+    items: DataFrame,
+    levels: DataFrame,
+    as_of: Column,
+    due: str = "due_on",
+    current: str = "current_level",
+    customer: str = "customer",
+    broadcast_rows: int = BROADCAST_ROWS,
+    rows_per_task: int | None = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """``age_open_items`` with levels from a table: per customer, and by the day an item fell due.
+
+    ``levels`` holds ``customer, level, from_days, valid_from, valid_to``; a
+    level holds for items due from the first day up to, not including, the
+    last, and a null day is no bound. Levels without a customer hold for items
+    of customers that have no level at all, and of none. An item without a day
+    due has no level.
+
+    The levels of a customer are cut by calendar year and gathered, so an item
+    meets one row by its customer and year, not a range: no pair of an item
+    and a level that is not of its year is made. The years cut are those that
+    items fall due in, a few rows taken from them beforehand.
+    """
+    years = items.where(F.col(due).isNotNull()).select(F.year(due).alias("_year")).distinct()
+    day = F.struct("level", "from_days", "valid_from", "valid_to")
+    first, last = F.make_date("_year", F.lit(1), F.lit(1)), F.make_date(F.col("_year") + 1, F.lit(1), F.lit(1))
+    spread = levels.withColumn("_year", F.explode(F.lit(sorted(r["_year"] for r in years.collect())).cast("array<int>")))
+    within = (F.col("valid_from").isNull() | (F.col("valid_from") < last)) & (F.col("valid_to").isNull() | (F.col("valid_to") > first))
+    gathered = spread.where(within).groupBy(customer, "_year").agg(F.collect_list(day).alias("_levels"))
+    own = gathered.where(F.col(customer).isNotNull())
+    general = gathered.where(F.col(customer).isNull()).select("_year", F.col("_levels").alias("_general"))
+    known = levels.where(F.col(customer).isNotNull()).select(customer).distinct().withColumn("_known", F.lit(True))
+    bounds = {"broadcast_rows": broadcast_rows, "rows_per_task": rows_per_task}
+    rows = lookup(items.withColumn("_year", F.year(due)), own, [customer, "_year"], **bounds)
+    rows = lookup(lookup(rows, known, customer, **bounds), general, "_year", **bounds)
+    mine = F.when(F.coalesce("_known", F.lit(False)), F.col("_levels")).otherwise(F.col("_general"))
+    days = F.datediff(as_of, F.col(due))
+
+    def reached(x: Column) -> Column:
+        holds = (x["valid_from"].isNull() | (x["valid_from"] <= F.col(due))) & (x["valid_to"].isNull() | (x["valid_to"] > F.col(due)))
+        return holds & (x["from_days"] <= days)
+
+    level = F.array_max(F.transform(F.filter(mine, reached), lambda x: x["level"]))
+    level = F.greatest(F.coalesce(level, F.lit(0)), F.lit(0)).cast("bigint")
+    rows = rows.select(*items.columns, F.greatest(days, F.lit(0)).cast("bigint").alias("days_overdue"), level.alias("dunning_level"))
+    return rows.withColumn("escalate", F.col("dunning_level") > F.coalesce(F.col(current), F.lit(0)))
+
+
 def map_bookings(
     postings: DataFrame, chart: DataFrame, default_chart: str = DEFAULT_CHART,
     broadcast_rows: int = BROADCAST_ROWS, rows_per_task: int | None = ROWS_PER_CHUNK,

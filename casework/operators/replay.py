@@ -17,6 +17,7 @@ from ..functions.text import is_filled
 from .skew import ROWS_PER_CHUNK, WIDE_ROWS_PER_CHUNK, OrderedLog
 from .transcripts import EMPTY
 
+# The loop's limits and the text that stands for a missing answer.
 MAX_STALLS = 2
 MAX_REPLANS = 2
 NO_ANSWER = "(no answer produced)"

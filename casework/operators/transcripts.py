@@ -10,6 +10,7 @@ from ..functions.envelope import wrap
 from ..functions.text import is_filled, text_or_empty
 from .skew import WIDE_ROWS_PER_CHUNK, OrderedLog
 
+# An empty transcript, and the speaker whose lines are not wrapped.
 EMPTY = "(empty)"
 TRUSTED = "orchestrator"
 # Bytes of a transcript part, far below the 2 GB a string cell may hold.

@@ -430,6 +430,17 @@ ORACLES: dict[str, str] = {
         FROM lines GROUP BY case_id
         UNION ALL
         SELECT doc_id, 0, '(empty)' FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)""",
+    "transcript_parts": f"""WITH {TRANSCRIPT}, {LINES},
+        placed AS (SELECT case_id, seq, line, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY case_id ORDER BY seq
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2048 AS cut FROM lines),
+        numbered AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY cut) - 1 AS part FROM placed)
+        SELECT case_id, part, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY seq) AS transcript
+        FROM numbered GROUP BY case_id, part""",
+    "stage_contract": """
+        WITH n AS (SELECT count(*) AS every, count(*) FILTER (WHERE lang <> 'fr') AS others FROM documents)
+        SELECT 0::BIGINT AS step, 'fields' AS stage, every AS n_before, every AS n_after, true AS kept FROM n
+        UNION ALL SELECT 1, 'others', every, others, every = others FROM n
+        UNION ALL SELECT 2, 'review', others, others, true FROM n""",
     "dispatch_rows": """
         WITH sent AS (
           SELECT q.conv_id AS case_id, q.turn AS step, CASE WHEN q.turn = 0 THEN 'procurement' ELSE 'finance' END AS who,
@@ -610,6 +621,21 @@ ORACLES: dict[str, str] = {
           SELECT *, CASE {" ".join(f"WHEN days >= {d} THEN {n}" for n, d in sorted(DUNNING_LEVELS, reverse=True))} ELSE 0 END AS level FROM aged)
         SELECT item, CAST(greatest(days, 0) AS BIGINT) AS days_overdue, CAST(level AS BIGINT) AS dunning_level,
                level > current_level AS escalate FROM levelled""",
+    "dunning_by_customer": f"""
+        WITH steps(level, days) AS (VALUES {", ".join(f"({n}, {d})" for n, d in DUNNING_LEVELS)}),
+        named AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1000000 ELSE 0 END AS quiet
+                  FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY'),
+        due AS (SELECT o_orderkey AS item, o_custkey AS customer, CAST(o_orderdate AS DATE) + 30 AS due_on,
+                       CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS current_level
+                FROM orders WHERE o_orderstatus = 'O'),
+        aged AS (SELECT *, DATE '1998-01-01' - due_on AS days FROM due),
+        reached AS (
+          SELECT a.item, max(s.level) AS level FROM aged a LEFT JOIN named n ON n.c_custkey = a.customer
+          JOIN steps s ON a.days >= CASE WHEN n.c_custkey IS NULL OR a.due_on < DATE '1996-01-01' THEN s.days ELSE s.days // 2 END + coalesce(n.quiet, 0)
+          GROUP BY a.item)
+        SELECT a.item, a.customer, CAST(greatest(a.days, 0) AS BIGINT) AS days_overdue, CAST(coalesce(r.level, 0) AS BIGINT) AS dunning_level,
+               coalesce(r.level, 0) > a.current_level AS escalate
+        FROM aged a LEFT JOIN reached r ON r.item = a.item""",
     "booking_codes": """
         WITH posted AS (SELECT p_partkey AS posting, p_size AS account, CASE WHEN p_type = 'SMALL' THEN 'SKR04' ELSE 'SKR03' END AS chart FROM part)
         SELECT posting, account, chart,

@@ -15,7 +15,7 @@ from ..sources.caseload import DEFAULT_MODEL, DUNNING_LEVELS, Caseload
 from ..sources.tables import stream_table
 from ..streaming import steps as live
 from ..streaming.run import drain, drain_upserts, use_rocksdb
-from .flow import CaseFlow, Stage, append_outputs, compose_task, final_summaries, output_rows, prior_contexts, row_priors
+from .flow import CaseFlow, Stage, Watch, append_outputs, compose_task, final_summaries, output_rows, prior_contexts, row_priors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +91,11 @@ def transcripts(t: Caseload) -> DataFrame:
     return tr.assemble_transcripts(t.transcript(), cases=_cases(t))
 
 
+@query
+def transcript_parts(t: Caseload) -> DataFrame:
+    return tr.transcript_parts(t.transcript(), part_bytes=2048)
+
+
 @query
 def dispatch_rows(t: Caseload) -> DataFrame:
     return tr.dispatch_rows(t.dispatches(), t.dispatch_replies())
@@ -156,6 +161,20 @@ def final_summary(t: Caseload) -> DataFrame:
     return final_summaries(orders, output_rows(_flow(t).run(t.cases())))
 
 
+def _letters_of_others(cases: DataFrame) -> DataFrame:
+    """A stage that breaks the contract: it leaves cases out."""
+    return cases.where("lang <> 'fr'").withColumn("summary", F.lit("kept"))
+
+
+@query
+def stage_contract(t: Caseload) -> DataFrame:
+    """Cases before and after each stage, counted in the run itself."""
+    watch = Watch()
+    flow = CaseFlow([Stage("fields", _fields_stage), Stage("others", _letters_of_others), Stage("review", _review_stage)])
+    flow.run(t.cases(), watch).write.format("noop").mode("overwrite").save()
+    return watch.report(t.spark)
+
+
 # Master data
 
 
@@ -496,6 +515,13 @@ def dunning(t: Caseload) -> DataFrame:
     return aged.select("item", "days_overdue", "dunning_level", "escalate")
 
 
+@query
+def dunning_by_customer(t: Caseload) -> DataFrame:
+    """Levels from a table: per customer and by the day an item fell due."""
+    aged = reconcile.age_open_items_by(t.customer_items(), t.dunning_levels(), _day("1998-01-01"))
+    return aged.select("item", "customer", "days_overdue", "dunning_level", "escalate")
+
+
 @query
 def booking_codes(t: Caseload) -> DataFrame:
     return reconcile.map_bookings(t.postings(), t.chart())

@@ -282,6 +282,25 @@ class Caseload:
             (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("current_level"),
         )
 
+    def customer_items(self) -> DataFrame:
+        """``open_items`` with the customer of each."""
+        owner = self.table("orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("customer"))
+        return self.open_items().join(owner, "item")
+
+    def dunning_levels(self) -> DataFrame:
+        """``customer, level, from_days, valid_from, valid_to``: stricter from 1996 on for customers
+        in debt, none for those of the machinery trade, and general levels for all others."""
+        named = self.table("customer").where((F.col("c_acctbal") < 0) | (F.col("c_mktsegment") == "MACHINERY"))
+        turn = F.lit("1996-01-01").cast("date")
+        steps = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(d).alias("days")) for n, d in DUNNING_LEVELS])).alias("s")
+        step = named.select(F.col("c_custkey").alias("customer"), (F.col("c_mktsegment") == "MACHINERY").alias("quiet"), steps)
+        quiet = F.when(F.col("quiet"), 1_000_000).otherwise(0)
+        before = step.select("customer", "s.level", (F.col("s.days") + quiet).alias("from_days"), F.lit(None).cast("date").alias("valid_from"), turn.alias("valid_to"))
+        after = step.select("customer", "s.level", (F.floor(F.col("s.days") / 2) + quiet).cast("int").alias("from_days"), turn.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+        rows = [(None, n, d, None, None) for n, d in DUNNING_LEVELS]
+        general = self.spark.createDataFrame(rows, "customer bigint, level int, from_days int, valid_from date, valid_to date")
+        return before.union(after).union(general)
+
     def postings(self) -> DataFrame:
         """``posting, account, chart``: parts booked by size; some state no chart."""
         chart = F.when(F.col("p_type") == "SMALL", "SKR04").when(F.col("p_type") != "ECONOMY", "SKR03")

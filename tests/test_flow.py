@@ -30,17 +30,17 @@ def test_vendor_outcomes(spark, vendors):
     df = tasks(
         spark,
         "please book the attached letter",
-        "letter 52 of DE999999",
+        "letter 52 of DE404040",
         "who is DE530617",
         "empty record DE111111",
         "DE222222 then DE530617",
     )
     got = {r.case_id: r for r in md.enrich_vendors(df, vendors).collect()}
     assert [(got[i].vendor_id, got[i].found) for i in range(5)] == [
-        (None, False), ("DE999999", False), ("DE530617", True), ("DE111111", False), ("DE222222", True),
+        (None, False), ("DE404040", False), ("DE530617", True), ("DE111111", False), ("DE222222", True),
     ]
     assert got[0].summary == "No vendor identifier (USt-IdNr.) found in the task."
-    assert got[1].summary == "Vendor DE999999 not found in master data."
+    assert got[1].summary == "Vendor DE404040 not found in master data."
     assert got[2].summary == (
         'Vendor DE530617 located. Name: <external_content source="datev">Holzwerk Adler KG</external_content> '
         "IBAN (REQUIRES non-LLM revalidation before payment): "
