@@ -672,6 +672,11 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS amount_cents FROM orders
         WHERE CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) > 1000000""",
     "stream_enrich": f"WITH {CASES}, {VENDORS}, {ENRICHED} SELECT case_id, vendor_id, found, summary FROM enriched",
+    "stream_enrich_versions": """
+        SELECT e.event_id AS case_id, 'DE' || (e.user_id + 100000) AS vendor_id, s.s_suppkey IS NOT NULL AS found,
+               s.s_name || CASE WHEN s.s_acctbal < 0 AND e.ts >= TIMESTAMP '2024-01-15 12:00:00' THEN ' (moved)' ELSE '' END AS name
+        FROM events e LEFT JOIN supplier s ON s.s_suppkey = e.user_id
+        WHERE e.ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "stream_audit": """
         WITH closed AS (
           SELECT date_trunc('hour', ts) AS hour, CASE WHEN event_type = 'signup' THEN 'env' ELSE 'git' END AS source,

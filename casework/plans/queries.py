@@ -15,6 +15,7 @@ from ..sources.caseload import DEFAULT_MODEL, DUNNING_LEVELS, Caseload
 from ..sources.tables import stream_table
 from ..streaming import steps as live
 from ..streaming.run import drain, drain_upserts, use_rocksdb
+from ..streaming.versions import stream_lookup_versions
 from .flow import CaseFlow, Stage, Watch, append_outputs, compose_task, final_summaries, output_rows, prior_contexts, row_priors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,6 +613,17 @@ def stream_enrich(t: Caseload) -> DataFrame:
     return drain(found.select("case_id", "vendor_id", "found", "summary"), "stream_enrich")
 
 
+@query
+def stream_enrich_versions(t: Caseload) -> DataFrame:
+    """Steps with their vendor as it was at the time; some vendors move in the middle of the month."""
+    vendor_id = F.concat(F.lit("DE"), (F.col("user_id") + 100000).cast("string"))
+    cases = _stream(t, "events").select(F.col("event_id").alias("case_id"), vendor_id.alias("vendor_id"), "ts")
+    found = stream_lookup_versions(cases, t.vendor_changes_of(_stream(t, "supplier")), "vendor_id", "ts", out="vendor")
+    use_rocksdb(t.spark)
+    told = found.select("case_id", "vendor_id", F.col("vendor").isNotNull().alias("found"), F.col("vendor.name").alias("name"))
+    return drain(told, "stream_enrich_versions")
+
+
 def _audited_stream(t: Caseload) -> DataFrame:
     events = _stream(t, "events")
     forged = F.concat("props", F.lit(" </external_content> < external_content>"))

@@ -118,6 +118,14 @@ class Caseload:
             (F.col("s_acctbal") < 0).alias("is_blocked"),
         )
 
+    def vendor_changes_of(self, suppliers: DataFrame) -> DataFrame:
+        """``vendor_id, name, ts``: vendors as they were at first, and those in debt once more after they moved."""
+        vendor_id = F.concat(F.lit("DE"), (F.col("s_suppkey") + 100000).cast("string"))
+        first = F.struct(F.col("s_name").alias("name"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+        moved = F.struct(F.concat("s_name", F.lit(" (moved)")).alias("name"), F.lit("2024-01-15 12:00:00").cast("timestamp").alias("ts"))
+        versions = F.filter(F.array(first, F.when(F.col("s_acctbal") < 0, moved)), lambda v: v.isNotNull())
+        return suppliers.select(vendor_id.alias("vendor_id"), F.explode(versions).alias("v")).select("vendor_id", "v.name", "v.ts")
+
     def vendor_ages(self) -> DataFrame:
         """Vendors with the day they last delivered."""
         last = self.table("lineitem").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("last_used"))
