@@ -93,22 +93,38 @@ class Model:
     bias: float = -4.0
     gain: float = 0.0
 
-    def weight(self, word: str) -> float:
-        """The best of the word and its beginnings; 0 if the model has none of them."""
+    def weigher(self) -> Callable[[str], float]:
+        """A function from a word to the best of it and its beginnings, 0 if the model has none of them."""
         least, most = BEGINNINGS
-        parts = (word, *(word[:n] + CUT for n in range(least, min(most, len(word) - 1) + 1)))
-        return max((w for p in parts if (w := self.weights.get(p)) is not None), default=0.0)
+        whole = {t: w for t, w in self.weights.items() if not t.endswith(CUT)}
+        starts = {t[: -len(CUT)]: w for t, w in self.weights.items() if t.endswith(CUT)}
+        heads = {t[:least] for t in starts}
+
+        def weight(word: str) -> float:
+            best = whole.get(word)
+            if len(word) > least and word[:least] in heads:
+                for n in range(least, min(most, len(word) - 1) + 1):
+                    w = starts.get(word[:n])
+                    if w is not None and (best is None or w > best):
+                        best = w
+            return best or 0.0
+
+        return weight
+
+    def weight(self, word: str) -> float:
+        return self.weigher()(word)
 
     def scanner(self) -> Callable[[str | None], tuple[int, list[tuple[int, int, float]]]]:
         """A function from a text to its number of words and its segments; it remembers words."""
         known: dict[str, float] = {}
+        weight = self.weigher()
 
         def scan(text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
             words = tokens(text)
             if len(known) > REMEMBERED:
                 known.clear()
             for word in set(words).difference(known):
-                known[word] = self.weight(word)
+                known[word] = weight(word)
             return len(words), segments(np.fromiter(map(known.__getitem__, words), float, len(words)))
 
         return scan
