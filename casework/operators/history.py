@@ -14,7 +14,7 @@ def change_intervals(
 
     ``(key, seq)`` is unique. Consecutive observations of one value make one interval.
     """
-    ordered = OrderedLog.of(log.select(key, seq, value), key, seq, rows_per_chunk=rows_per_chunk)
+    ordered = OrderedLog.ranged(log.select(key, seq, value), key, seq, rows_per_chunk=rows_per_chunk)
     ordered = ordered.neighbour({"_seq": seq, "_before": value})
     changed = F.col("_seq").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))
     ordered = ordered.with_df(ordered.df.where(changed)).neighbour({"valid_to": seq}, ahead=True)
@@ -38,7 +38,7 @@ def value_as_of(
     others = [c for c in probes.columns if c not in (key, seq)]
     asked = probes.select(key, seq, F.lit(1).alias("_side"), F.struct(*others).alias("_probe"))
     both = observed.unionByName(asked, allowMissingColumns=True)
-    ordered = OrderedLog.of(both, key, seq, ties=("_side",), rows_per_chunk=rows_per_chunk)
+    ordered = OrderedLog.ranged(both, key, seq, ties=("_side",), rows_per_chunk=rows_per_chunk)
     ordered = ordered.running_max("_last", F.col("_seen"))
     return ordered.result.where(F.col("_side") == 1).select(
         key, seq, *[F.col(f"_probe.{c}").alias(c) for c in others], F.col(f"_last.{value}").alias(value)

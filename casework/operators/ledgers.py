@@ -48,9 +48,9 @@ def revision_delta(
 ) -> DataFrame:
     """Per revision after the first: facts learned and dropped, plan steps repeated verbatim.
 
-    ``counts_from``: see ``OrderedLog.of``; use it when ``ledgers`` is costly to read.
+    ``counts_from``: see ``OrderedLog.ranged``; use it when ``ledgers`` is costly to read.
     """
-    log = OrderedLog.of(
+    log = OrderedLog.ranged(
         ledgers.select(case, revision, "facts", "plan"), case, revision,
         rows_per_chunk=rows_per_chunk, counts_from=counts_from,
     )

@@ -43,7 +43,7 @@ def _chunk_carry(log: OrderedLog, limit: int, max_replans: int) -> DataFrame:
     a replan follows from their number.
     """
     leading = F.col("_waiting") & F.col("_restart").isNull()
-    chunk = log.df.groupBy(*log.group).agg(
+    chunk = log.cut_rows.groupBy(*log.group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(~F.col("_waiting"), F.col("_at"))).alias("_last"),
         F.count_if(leading).alias("_leading"),
@@ -80,11 +80,11 @@ def replay_trace(
     ``is_progress_being_made``) and ``known_speaker``. Routes: ``dispatch``,
     ``replan``, ``finalize:satisfied``, ``finalize:budget``, and
     ``after_terminal`` for steps logged after a case ended. Counters are those
-    after the step, null after the end. ``counts_from``: see ``OrderedLog.of``.
+    after the step, null after the end. ``counts_from``: see ``OrderedLog.ranged``.
     ``payload`` names further columns that go through the one shuffle.
     """
     flags = ["is_request_satisfied", "is_in_loop", "is_progress_being_made", "known_speaker"]
-    log = OrderedLog.of(
+    log = OrderedLog.ranged(
         steps.select(case, seq, *flags, *payload), case, seq, rows_per_chunk=rows_per_chunk, counts_from=counts_from
     )
     limit = max(max_stalls, 1)
@@ -193,7 +193,7 @@ def stall_runs(
 ) -> DataFrame:
     """Runs of consecutive stalled steps, without replans: ``case, started_at, ended_at, n_stalls``."""
     flags = ["is_in_loop", "is_progress_being_made"]
-    log = OrderedLog.of(steps.select(case, seq, *flags), case, seq, rows_per_chunk=rows_per_chunk)
+    log = OrderedLog.ranged(steps.select(case, seq, *flags), case, seq, rows_per_chunk=rows_per_chunk)
     log = log.running_sum("_run", (~_stalled()).cast("bigint"))
     # Grouping is partial first, so a run of any length is cheap.
     return (
@@ -212,7 +212,7 @@ def repeated_steps(
     rows_per_chunk: int = WIDE_ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Flag steps that repeat the one before in every column of ``same``; nulls are equal."""
-    log = OrderedLog.of(steps.select(case, seq, *same), case, seq, rows_per_chunk=rows_per_chunk)
+    log = OrderedLog.ranged(steps.select(case, seq, *same), case, seq, rows_per_chunk=rows_per_chunk)
     log = log.neighbour({"_seq": seq, **{f"_before_{c}": c for c in same}})
     repeated = F.col("_seq").isNotNull()
     for c in same:

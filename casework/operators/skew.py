@@ -24,6 +24,8 @@ ROWS_PER_CHUNK = 1_000_000
 WIDE_ROWS_PER_CHUNK = 100_000
 # Ranges that one round cuts a key into at most; rounds go on until all fit.
 MAX_CHUNKS = 4_096
+# Marks by which a chunk's worth of rows is told in one pass.
+MARKS = 64
 # Bounds under which a dimension is broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -243,6 +245,71 @@ class OrderedLog:
             nulls |= flat.nulls
         return cls(df, key, seq, tuple(chunks), tuple(ties), nulls)
 
+    @classmethod
+    def ranged(
+        cls,
+        df: DataFrame,
+        key: str,
+        seq: str,
+        ties: Sequence[str] = (),
+        rows_per_chunk: int = ROWS_PER_CHUNK,
+        counts_from: DataFrame | None = None,
+    ) -> OrderedLog:
+        """The same cut as part of the plan: no job runs before the one that uses the result.
+
+        About ``MARKS`` rows of every ``rows_per_chunk`` are marks, chosen by a
+        hash of the row. A key with more marks than one chunk has is cut at
+        every ``MARKS``-th of them in order, however uneven ``seq`` is; its
+        chunks are about as large, not exactly. The bounds are broadcast: one
+        for each chunk, so fewer than rows in the table by ``rows_per_chunk``.
+        Where rows at one moment fill several chunks they are dealt by
+        ``ties`` and a hash of the row, those after them are chunks of their
+        own. Marks follow from the rows alone, the same on every retry.
+        """
+        counted = (df if counts_from is None else counts_from).select(key, seq)
+        if input_bytes(counted) <= rows_per_chunk * LEAST_ROW_BYTES:
+            return cls(df, key, seq, (), tuple(ties))
+        step = max(1, rows_per_chunk // MARKS)
+        per = rows_per_chunk // step
+        source = df if counts_from is None else counts_from
+        mark = F.pmod(row_hash(source), F.lit(step)) == 0
+        marks = source.where(mark).select(key, F.col(seq).cast("bigint").alias("_m")).groupBy(key).agg(F.sort_array(F.collect_list("_m")).alias("_marks"))
+        bounds = F.expr(f"transform(sequence(1, (size(_marks) - 1) div {per}), i -> _marks[i * {per}])")
+        # With the bounds go the steps of a search by halving, and whether some are equal.
+        halves = "transform(sequence(0, int(floor(log2(size(_bounds))))), i -> shiftleft(1, int(floor(log2(size(_bounds)))) - i))"
+        hot = marks.where(F.size("_marks") > per).select(F.col(key).alias("_hot"), bounds.alias("_bounds"))
+        hot = hot.withColumns({"_halves": F.expr(halves), "_repeat": F.size(F.array_distinct("_bounds")) < F.size("_bounds")})
+        at = F.col(seq).cast("bigint")
+
+        def bounds_before(below) -> Column:
+            """How many bounds fulfil a condition that the first ones do and the others do not."""
+            def step(n: Column, h: Column) -> Column:
+                return F.when((n + h <= F.size("_bounds")) & below(F.get("_bounds", n + h - 1)), n + h).otherwise(n)
+
+            return F.aggregate("_halves", F.lit(0), step)
+
+        rows = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_cut", F.col("_bounds").isNotNull())
+        rows = rows.withColumn("_chunk0", F.when(F.col("_cut"), bounds_before(lambda b: b <= at)).otherwise(0))
+        rows = rows.withColumn("_bound", F.when(F.col("_repeat") & (F.col("_chunk0") > 0), F.get("_bounds", F.col("_chunk0") - 1)))
+        equal = F.when(F.col("_bound").isNotNull(), F.col("_chunk0") - bounds_before(lambda b: b < F.col("_bound")))
+        rows = rows.withColumn("_same", F.coalesce(equal, F.lit(0)))
+        flat = (F.col("_same") > 1) & (at == F.col("_bound"))
+        rows = rows.withColumn("_chunk1", F.coalesce(((F.col("_same") > 1) & (at > F.col("_bound"))).cast("int"), F.lit(0)))
+        chunks = ["_cut", "_chunk0", "_chunk1"]
+        for i, tie in enumerate(ties):
+            rows = rows.withColumn(f"_chunk{2 + i}", F.when(flat, F.coalesce(F.col(tie).cast("bigint"), F.lit(-1 << 63))).otherwise(F.lit(0)))
+            chunks.append(f"_chunk{2 + i}")
+        dealt = F.pmod(row_hash(df), F.greatest(F.col("_same"), F.lit(1)).cast("bigint"))
+        rows = rows.withColumn("_dealt", F.when(flat, dealt).otherwise(F.lit(0)))
+        chunks.append("_dealt")
+        rows = rows.drop("_hot", "_bounds", "_halves", "_repeat", "_bound", "_same").repartition(key, *chunks)
+        return cls(rows, key, seq, tuple(chunks), tuple(ties), True)
+
+    @property
+    def cut_rows(self) -> DataFrame:
+        """Rows of the keys that are cut, where the plan tells them apart; only these need a carry."""
+        return self.df.where("_cut") if "_cut" in self.chunks else self.df
+
     def with_df(self, df: DataFrame) -> OrderedLog:
         """The same cut over changed columns or filtered rows."""
         return replace(self, df=df)
@@ -262,6 +329,9 @@ class OrderedLog:
 
     def with_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
         """``rows`` of the log with the columns of a table of one row per group."""
+        if "_cut" in self.chunks:
+            # One row for each chunk of a cut key; so the rows stay where they are.
+            carry = F.broadcast(carry)
         return _left(rows, carry, self.group, self.nulls)
 
     def chunk_window(self, backwards: bool = False):
@@ -280,7 +350,7 @@ class OrderedLog:
             return self.with_df(inside)
         # One row per chunk: what all earlier chunks of the key amount to.
         carry = (
-            self.df.groupBy(*self.group)
+            self.cut_rows.groupBy(*self.group)
             .agg(agg(value).alias("_total"))
             .withColumn("_carry", agg("_total").over(self.chunk_window()))
             .drop("_total")
@@ -319,7 +389,7 @@ class OrderedLog:
         entry = F.struct(*order, *[F.col(c).alias(name) for name, c in columns.items()])
         edge, nearest = (F.min(entry), F.min) if ahead else (F.max(entry), F.max)
         carry = (
-            self.df.groupBy(*self.group)
+            self.cut_rows.groupBy(*self.group)
             .agg(edge.alias("_edge"))
             .withColumn("_carry", nearest("_edge").over(self.chunk_window(backwards=ahead)))
             .drop("_edge")
