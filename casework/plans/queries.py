@@ -604,7 +604,7 @@ def stream_replay_any_order(t: Caseload) -> DataFrame:
     use_rocksdb(t.spark)
     steps = t.steps_of(_stream(t, "events"), "ts")
     known = registry.with_known_worker(steps, registry.registry_view(t.worker_log()))
-    return drain(live.stream_replay_any_order(known, "ts"), "stream_replay_any_order")
+    return drain(live.stream_replay_any_order(known, "ts", bucket_ms=30 * live.DAY_MS), "stream_replay_any_order")
 
 
 @query
@@ -618,7 +618,7 @@ def stream_enrich_versions(t: Caseload) -> DataFrame:
     """Steps with their vendor as it was at the time; some vendors move in the middle of the month."""
     vendor_id = F.concat(F.lit("DE"), (F.col("user_id") + 100000).cast("string"))
     cases = _stream(t, "events").select(F.col("event_id").alias("case_id"), vendor_id.alias("vendor_id"), "ts")
-    found = stream_lookup_versions(cases, t.vendor_changes_of(_stream(t, "supplier")), "vendor_id", "ts", out="vendor")
+    found = stream_lookup_versions(cases, t.vendor_changes_of(_stream(t, "supplier")), "vendor_id", "ts", parts=2, bucket_ms=30 * live.DAY_MS, out="vendor")
     use_rocksdb(t.spark)
     told = found.select("case_id", "vendor_id", F.col("vendor").isNotNull().alias("found"), F.col("vendor.name").alias("name"))
     return drain(told, "stream_enrich_versions")

@@ -107,6 +107,8 @@ def stream_replay(
     )
 
 
+# Event time of a bucket of waiting rows: about as long as a key brings some thousands.
+DAY_MS = 86_400_000
 # Of a waiting step: its number, its time in ms, and its four flags as bits.
 WAITING = np.dtype([("seq", "<i8"), ("ms", "<i8"), ("flags", "u1")])
 FLAGS = ("is_request_satisfied", "is_in_loop", "is_progress_being_made", "known_speaker")
@@ -195,7 +197,7 @@ class OrderedStepRouter(StatefulProcessor):
 
 
 def stream_replay_any_order(
-    steps: DataFrame, ts: str, lateness: str = "10 minutes", max_stalls: int = MAX_STALLS, max_replans: int = MAX_REPLANS, bucket_ms: int = 3_600_000
+    steps: DataFrame, ts: str, lateness: str = "10 minutes", max_stalls: int = MAX_STALLS, max_replans: int = MAX_REPLANS, bucket_ms: int = DAY_MS
 ) -> DataFrame:
     """The trace of ``replay_trace`` of steps that arrive in any order; needs the RocksDB state store.
 

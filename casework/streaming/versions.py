@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.skew import row_hash
+from .steps import DAY_MS
 
 FOUND_SCHEMA = "body string, record string"
 
@@ -109,7 +110,7 @@ def stream_lookup_versions(
     ts: str,
     lateness: str = "10 minutes",
     parts: int = 16,
-    bucket_ms: int = 3_600_000,
+    bucket_ms: int = DAY_MS,
     out: str = "record",
 ) -> DataFrame:
     """``cases`` with ``record``: all columns of the row of ``changes`` for its
