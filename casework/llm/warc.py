@@ -1,10 +1,10 @@
 """Web archives: pages into deterministic WARC shards, and back.
 
-Shards are ranges of page ids with about equal payload, cut at bounds that
+Shards are ranges of page ids that write about as much, cut at bounds that
 follow from exact byte counts, so the same pages give the same files. Inside a
 shard records are in id order; a file is closed once it has ``roll_bytes``
-compressed. A file is written under a temporary name and renamed; the manifest,
-written last, says which files count.
+compressed, which a shard has several times over. A file is written under a
+temporary name and renamed; the manifest, written last, says which files count.
 """
 
 from __future__ import annotations
@@ -19,15 +19,19 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import quoted, stage
 
-SHARD_BYTES = 16 << 20
-ROLL_BYTES = 32 << 20
-# Ranges of ids whose bytes are counted at a time.
-RANGES = 1 << 14
+# What a shard writes before compression: a share of the whole within these bounds.
+LEAST_SHARD, MOST_SHARD, SHARDS = 16 << 20, 1 << 30, 1 << 10
+# A file is closed at this share of its shard, so a shard that shrinks less than so many times has several.
+ROLLS = 16
+# What a record writes besides its payload, about.
+HEAD_BYTES = 700
+# Ranges of ids whose bytes are counted at first, and at least for one that is heavy.
+RANGES, FINER = 1 << 14, 16
 DATE = "1970-01-01T00:00:00Z"
 _LEAST = -(1 << 63)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,29 +48,51 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*parts)
 
 
+def _shard_bytes(total: int) -> int:
+    return min(max(total // SHARDS, LEAST_SHARD), MOST_SHARD)
+
+
 def _bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
     """First ids of the shards after the first, from exact bytes by id range.
 
-    Ranges that hold more than a shard are counted again in finer ranges.
+    All ranges that hold more than two shards are counted again in finer ones,
+    together in one job, until none does. What comes to the driver at a time is
+    a few numbers for each shard, and ``RANGES`` at first.
     """
     low, high = sizes.agg(F.min("_k"), F.max("_k")).first()
     if low is None:
         return []
-
-    def counted(first: int, last: int) -> list[tuple[int, int, int]]:
-        step = max(1, -(-(last - first + 1) // RANGES))
-        part = sizes.where(F.col("_k").between(first, last))
-        at = F.floor((F.col("_k").cast("decimal(38,0)") - F.lit(first).cast("decimal(38,0)")) / F.lit(step).cast("decimal(38,0)"))
-        rows = part.groupBy(at.cast("long").alias("at")).agg(F.sum("_bytes").alias("n")).orderBy("at").collect()
-        out = []
-        for r in rows:
-            a = first + r["at"] * step
-            b = min(a + step - 1, last)
-            out += counted(a, b) if r["n"] > 2 * shard_bytes and b > a else [(a, b, r["n"])]
-        return out
+    spark = sizes.sparkSession
+    done, heavy = [], [(low, high, -(-(high - low + 1) // RANGES))]
+    while heavy:
+        firsts, lasts = np.array([h[0] for h in heavy], np.int64), np.array([h[1] for h in heavy], np.int64)
+        shared = spark.sparkContext.broadcast((firsts, lasts, np.array([h[2] for h in heavy], np.uint64)))
+
+        @F.pandas_udf("long")
+        def range_of(k: pd.Series) -> pd.Series:
+            """The first id of the finer range of an id; null outside the heavy ranges."""
+            firsts, lasts, steps = shared.value
+            ids = k.to_numpy(np.int64)
+            at = np.searchsorted(firsts, ids, side="right") - 1
+            inside = (at >= 0) & (ids <= lasts[at])
+            # Unsigned, as a range may span more than half of all ids.
+            start = firsts[at].view(np.uint64)
+            start = start + (ids.view(np.uint64) - start) // steps[at] * steps[at]
+            return pd.Series(start.view(np.int64)).astype("Int64").mask(~inside)
+
+        rows = sizes.groupBy(range_of("_k").alias("a")).agg(F.sum("_bytes").alias("n")).where("a is not null").orderBy("a").collect()
+        finer = []
+        for first, n in rows:
+            _, end, step = heavy[int(np.searchsorted(firsts, first, side="right")) - 1]
+            last = min(first + step - 1, end)
+            if n > 2 * shard_bytes and last > first:
+                finer.append((first, last, -(-(last - first + 1) // max(FINER, 4 * n // shard_bytes))))
+            else:
+                done.append((first, n))
+        heavy = finer
 
     bounds, held = [], 0
-    for first, _, n in counted(low, high):
+    for first, n in sorted(done):
         if held and held + n > shard_bytes:
             bounds.append(first)
             held = 0
@@ -136,7 +162,7 @@ _MANIFEST = "shard int, turn int, file string, records long, bytes long, sha256
 
 
 def write(
-    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES
+    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, shard_bytes: int | None = None, roll_bytes: int | None = None
 ) -> DataFrame:
     """Write ``pages`` below ``folder`` and return the manifest.
 
@@ -147,6 +173,11 @@ def write(
     there is one, and is a response otherwise. A null url gets no target. An
     empty table gives an empty manifest. Payloads are shuffled once; what a
     record refers to comes to the same task as a row of its own before it.
+    A shard writes about ``shard_bytes`` before compression, by default a
+    1,024th of the whole between 16 MiB and 1 GiB; its files are closed at
+    ``roll_bytes`` compressed, by default a sixteenth of that. Revisits and
+    empty pages count with their headers. What failed attempts left under
+    temporary names is removed once the manifest is written.
     """
     spark = pages.sparkSession
     payload = F.coalesce(quoted(html), F.lit("")).cast("binary")
@@ -155,9 +186,15 @@ def write(
     read = read.withColumns({"_digest": base32_sha1(F.col("_payload")), "_bytes": F.octet_length("_payload").cast("long")})
     narrow = stage(read.select("_page", "_k", "_digest", "_bytes"), "page-digests")
     first = narrow.where(F.col("_bytes") >= least_bytes).groupBy("_digest").agg(F.min("_page").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    refers = narrow.join(first, "_digest").where("_page is null or _page > _first").select("_k", "_digest", "_first").distinct()
-
-    bounds = spark.sparkContext.broadcast(np.array(_bounds(narrow, shard_bytes), np.int64))
+    again = F.expr("_first is not null and (_page is null or _page > _first)")
+    weighed = narrow.join(first, "_digest", "left").select("_k", "_digest", "_first", again.alias("_again"), (F.when(again, 0).otherwise(F.col("_bytes")) + HEAD_BYTES).alias("_bytes"))
+    weighed = stage(weighed, "page-weights")
+    refers = weighed.where("_again").select("_k", "_digest", "_first").distinct()
+
+    if shard_bytes is None:
+        shard_bytes = _shard_bytes(weighed.agg(F.sum("_bytes")).first()[0] or 0)
+    roll_bytes = roll_bytes or -(-shard_bytes // ROLLS)
+    bounds = spark.sparkContext.broadcast(np.array(_bounds(weighed, shard_bytes), np.int64))
     shards = len(bounds.value) + 1
     none = F.lit(None)
     rows = read.select("_k", "_page", "_url", "_digest", "_payload", none.cast("long").alias("_first"), F.lit(1).alias("_turn")).unionByName(
@@ -199,6 +236,9 @@ def write(
     fs, root = _place(folder)
     fs.create_dir(root, recursive=True)
     rows.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/manifest")
+    for left in fs.get_file_info(FileSelector(root)):
+        if left.base_name.startswith(".tmp-"):
+            fs.delete_file(left.path)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
