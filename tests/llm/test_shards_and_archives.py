@@ -1,0 +1,107 @@
+"""Spread of equal rows, uniformity of the shuffle, and the cut of archives into shards and files."""
+
+import random
+from collections import Counter
+from itertools import product
+from math import comb
+
+from pyspark.sql import functions as F
+
+from casework.llm import sharding, warc
+from casework.session import run_dir
+
+
+def chi_square(seen, expected):
+    return sum((seen.get(c, 0) - e) ** 2 / e for c, e in expected.items())
+
+
+def test_equal_rows_spread(spark):
+    """A third of all rows are one null key; names may be those of the operator."""
+    n = 9000
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id"))
+    docs = spark.range(n).select(key.cast("long").alias("doc_id"), F.lit(1).alias("_from"), F.lit("x").alias("_copy"), F.col("id").alias("_key"))
+    rows = sharding.assign(docs, ["doc_id"], shards=8, partitions=16, rows=500).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "_from", "_copy", "_key", "shard", "slot"}
+    assert sorted(r["_key"] for r in rows) == list(range(n)) and {r["_copy"] for r in rows} == {"x"}
+    assert len({(r["shard"], r["slot"]) for r in rows}) == n and max(r["slot"] for r in rows) == n // 8 - 1
+    copies = [r for r in rows if r["doc_id"] is None]
+    by_shard = Counter(r["shard"] for r in copies)
+    # 3,000 copies over 8 shards of 1,125 places each, and over four quarters of a shard.
+    assert chi_square(by_shard, {s: len(copies) / 8 for s in range(8)}) < 24.3
+    assert chi_square(Counter(r["slot"] * 4 // 1125 for r in copies), {q: len(copies) / 4 for q in range(4)}) < 16.3
+    again = sharding.assign(docs.repartition(7), ["doc_id"], shards=8, partitions=16, rows=500).collect()
+    places = lambda out: sorted((r["doc_id"] or -1, r["shard"], r["slot"]) for r in out)
+    assert places(again) == places(rows)
+
+
+def test_copies_are_numbered_per_task(spark):
+    marked = spark.range(600, numPartitions=6).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("_key"), F.spark_partition_id().alias("_task"), F.col("id").alias("_at"))
+    rows = sharding._numbered(marked).collect()
+    assert sorted(r["_copy"] for r in rows if r["_key"] == 0) == list(range(500))
+    assert [r["_copy"] for r in rows if r["_key"] != 0] == [0] * 100
+
+
+def test_shuffle_is_uniform(spark):
+    """Neighbouring ids go to all shards and all places alike."""
+    n, shards, blocks = 8000, 8, 10
+    rows = sharding.assign(spark.range(n).withColumnRenamed("id", "doc_id"), ["doc_id"], shards=shards, partitions=64).collect()
+    cells = {c: n / blocks / shards for c in product(range(blocks), range(shards))}
+    # 63 and 81 degrees of freedom; both bounds are passed by chance once in a thousand.
+    assert 33 < chi_square(Counter((r["doc_id"] * blocks // n, r["shard"]) for r in rows), cells) < 104
+    cells = {c: n / blocks / 10 for c in product(range(blocks), range(10))}
+    assert 45 < chi_square(Counter((r["doc_id"] * blocks // n, r["slot"] * 10 * shards // n) for r in rows), cells) < 126
+
+
+def test_cells_follow_their_law():
+    """Rows of the first partition in the first shard against the hypergeometric law."""
+    sizes, quotas, tries = [6, 9, 5], [8, 8, 4], 6000
+    seen = Counter(sharding.communication(sizes, quotas, seed)[0][0] for seed in range(tries))
+    law = {k: tries * comb(8, k) * comb(12, 6 - k) / comb(20, 6) for k in range(7)}
+    assert chi_square(seen, law) < 22.5
+
+
+def test_bounds_are_exact(spark):
+    """Ids at both ends of their range, a dense heavy stretch and one heavy id."""
+    rng = random.Random(5)
+    ids = [-(1 << 63), (1 << 63) - 1, 0, *(10**12 + i for i in range(3000)), *(rng.randrange(-(1 << 62), 1 << 62) for _ in range(500)), *[77] * 400]
+    sizes = [(k, rng.randrange(700, 3000)) for k in ids]
+    limit = 20_000
+    bounds = warc._bounds(spark.createDataFrame(sizes, "_k long, _bytes long"), limit)
+    assert bounds == sorted(set(bounds))
+    held = Counter()
+    for k, n in sizes:
+        held[sum(b <= k for b in bounds)] += n
+    heavy = sum(b <= 77 for b in bounds)
+    assert all(n <= 3 * limit for s, n in held.items() if s != heavy) and sum(held.values()) == sum(n for _, n in sizes)
+    assert len(held) > sum(n for s, n in held.items() if s != heavy) / limit / 2
+    assert warc._bounds(spark.createDataFrame([], "_k long, _bytes long"), limit) == []
+    assert warc._bounds(spark.createDataFrame([(3, 10**9)] * 2, "_k long, _bytes long"), limit) == []
+
+
+def test_shards_have_several_files(spark):
+    """The default ratio of shard to file, on pages that shrink to about a third; revisits weigh little."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    pages = [(i, None, " ".join(rng.choices(words, k=400))) for i in range(300)]
+    pages += [(1000 + i, None, pages[0][2]) for i in range(300)]
+    folder = run_dir(spark, "test-warc")
+    manifest = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, shard_bytes=200_000).collect()
+    files = Counter(m["shard"] for m in manifest)
+    assert min(files.values()) > 1 and len(files) > 3
+    records = Counter()
+    for m in manifest:
+        records[m["shard"]] += m["records"]
+    assert max(records.values()) > 3 * min(records.values())
+    assert warc.read(spark, folder).where("record_type = 'revisit' and refers_to = 0").count() == 300
+
+
+def test_temporary_files_go(spark, tmp_path):
+    left = tmp_path / "out"
+    left.mkdir()
+    (left / ".tmp-000000-0000-lost").write_bytes(b"x")
+    warc.write(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string"), str(left))
+    assert not list(left.glob(".tmp-*")) and len(list(left.glob("part-*"))) == 1
+
+
+def test_shard_size_follows_the_whole():
+    assert [warc._shard_bytes(n) for n in (0, 10**9, 1 << 36, 10**14)] == [16 << 20, 16 << 20, 64 << 20, 1 << 30]
