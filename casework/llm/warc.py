@@ -1,6 +1,6 @@
 """Web archives: pages into deterministic WARC shards, and back.
 
-Shards are ranges of page ids that write about as much, cut at bounds that
+Shards are ranges of page ids with about equal records, cut at bounds that
 follow from exact byte counts, so the same pages give the same files. Inside a
 shard records are in id order; a file is closed once it has ``roll_bytes``
 compressed, which a shard has several times over. A file is written under a
@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import quoted, stage
 
-# What a shard writes before compression: a share of the whole within these bounds.
+# Bytes of the records of a shard: a share of the whole within these bounds.
 LEAST_SHARD, MOST_SHARD, SHARDS = 16 << 20, 1 << 30, 1 << 10
 # A file is closed at this share of its shard, so a shard that shrinks less than so many times has several.
 ROLLS = 16
-# What a record writes besides its payload, about.
+# What a record holds besides its payload, about.
 HEAD_BYTES = 700
 # Ranges of ids whose bytes are counted at first, and at least for one that is heavy.
 RANGES, FINER = 1 << 14, 16
@@ -173,10 +173,9 @@ def write(
     there is one, and is a response otherwise. A null url gets no target. An
     empty table gives an empty manifest. Payloads are shuffled once; what a
     record refers to comes to the same task as a row of its own before it.
-    A shard writes about ``shard_bytes`` before compression, by default a
-    1,024th of the whole between 16 MiB and 1 GiB; its files are closed at
-    ``roll_bytes`` compressed, by default a sixteenth of that. Revisits and
-    empty pages count with their headers. What failed attempts left under
+    A shard is a task of about ``shard_bytes`` of payloads and headers, by default
+    a 1,024th of the whole between 16 MiB and 1 GiB; its files are closed at
+    ``roll_bytes`` compressed, by default a sixteenth of that. What failed attempts left under
     temporary names is removed once the manifest is written.
     """
     spark = pages.sparkSession
@@ -186,11 +185,10 @@ def write(
     read = read.withColumns({"_digest": base32_sha1(F.col("_payload")), "_bytes": F.octet_length("_payload").cast("long")})
     narrow = stage(read.select("_page", "_k", "_digest", "_bytes"), "page-digests")
     first = narrow.where(F.col("_bytes") >= least_bytes).groupBy("_digest").agg(F.min("_page").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = F.expr("_first is not null and (_page is null or _page > _first)")
-    weighed = narrow.join(first, "_digest", "left").select("_k", "_digest", "_first", again.alias("_again"), (F.when(again, 0).otherwise(F.col("_bytes")) + HEAD_BYTES).alias("_bytes"))
-    weighed = stage(weighed, "page-weights")
-    refers = weighed.where("_again").select("_k", "_digest", "_first").distinct()
+    refers = narrow.join(first, "_digest").where("_page is null or _page > _first").select("_k", "_digest", "_first").distinct()
 
+    # Revisits count in full, as their payloads come to the shard's task as well.
+    weighed = narrow.select("_k", (F.col("_bytes") + HEAD_BYTES).alias("_bytes"))
     if shard_bytes is None:
         shard_bytes = _shard_bytes(weighed.agg(F.sum("_bytes")).first()[0] or 0)
     roll_bytes = roll_bytes or -(-shard_bytes // ROLLS)
@@ -205,7 +203,7 @@ def write(
     def shard_of(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds.value, k.to_numpy(), side="right").astype(np.int32))
 
-    rows = rows.withColumn("_shard", shard_of("_k")).repartition(shards, "_shard").sortWithinPartitions("_shard", "_k", "_turn", "_digest", "_url")
+    rows = rows.withColumn("_shard", shard_of("_k")).repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_k", "_turn", "_digest", "_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, known, at, done = None, {}, None, []
