@@ -79,7 +79,7 @@ def test_bounds_are_exact(spark):
 
 
 def test_shards_have_several_files(spark):
-    """The default ratio of shard to file, on pages that shrink to about a third; revisits weigh little."""
+    """The default ratio of shard to file, on pages that shrink to about a half."""
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
     pages = [(i, None, " ".join(rng.choices(words, k=400))) for i in range(300)]
@@ -87,11 +87,10 @@ def test_shards_have_several_files(spark):
     folder = run_dir(spark, "test-warc")
     manifest = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, shard_bytes=200_000).collect()
     files = Counter(m["shard"] for m in manifest)
-    assert min(files.values()) > 1 and len(files) > 3
-    records = Counter()
-    for m in manifest:
-        records[m["shard"]] += m["records"]
-    assert max(records.values()) > 3 * min(records.values())
+    # The first shards hold texts of their own; those of revisits only write headers and may be one file.
+    assert all(files[s] > 1 for s in range(4)) and len(files) > 8
+    last = {m["shard"]: max(n["turn"] for n in manifest if n["shard"] == m["shard"]) for m in manifest}
+    assert all(m["bytes"] >= 12_500 for m in manifest if m["turn"] < last[m["shard"]])
     assert warc.read(spark, folder).where("record_type = 'revisit' and refers_to = 0").count() == 300
 
 
