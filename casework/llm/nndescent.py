@@ -44,8 +44,13 @@ AUDITED, MOST_AUDITED = 256, 1 << 13
 EVIDENCE = 64
 RECALL = 0.98
 EXTRA_ROUNDS = 3
-# Up to so many nodes all are compared with all if the rounds do not reach the recall.
-EXACT_NODES, EXACT_BLOCK = 1 << 18, 2048
+# If the rounds do not reach the recall all nodes are compared with all, however
+# many they are. With a number here more nodes than that are refused instead; no
+# number makes a result of fewer comparisons.
+EXACT_NODES: int | None = None
+# Bytes of vectors in double precision of a block of that comparison, rows of a
+# block at the most, and rows compared with the other block at a time.
+EXACT_BYTES, EXACT_BLOCK, SLICE = 1 << 24, 1 << 13, 512
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -203,19 +208,22 @@ def _group_links(group: DataFrame, nodes: DataFrame, least: float, size: int) ->
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         own, weight, node = (frame[c].to_numpy() for c in ("own", "weight", "node"))
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        linked = (x[a] @ x[b].T >= least) & (node[a][:, None] != node[b][None, :])
         links, root = np.zeros(len(node), np.int64), np.arange(len(node))
-        links[a] = linked @ weight[b]
-        if i != j:
-            links[b] = linked.T @ weight[a]
-        p, q = np.nonzero(linked)
-        p, q = a[p], b[q]
-        while True:
-            before = root.copy()
-            np.minimum.at(root, p, before[q])
-            np.minimum.at(root, q, before[p])
-            if (root == before).all():
-                break
+        for at in range(0, len(a), SLICE):
+            part = a[at : at + SLICE]
+            linked = (x[part] @ x[b].T >= least) & (node[part][:, None] != node[b][None, :])
+            links[part] += linked @ weight[b]
+            if i != j:
+                links[b] += linked.T @ weight[part]
+            p, q = np.nonzero(linked)
+            # What earlier slices joined stays joined: each to its root so far.
+            p, q = np.concatenate([part[p], np.arange(len(node))]), np.concatenate([b[q], root])
+            while True:
+                before = root.copy()
+                np.minimum.at(root, p, before[q])
+                np.minimum.at(root, q, before[p])
+                if (root == before).all():
+                    break
         some = links > 0
         return pd.DataFrame({"node": node[some], "links": links[some], "root": node[root[some]]})
 
@@ -230,7 +238,9 @@ def _group_counts(group: DataFrame, nodes: DataFrame, least: float) -> DataFrame
 def _all_pairs(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (node, component) by comparing all nodes of as many components, block by block."""
     group = nodes.select("node", F.col("dim").cast("long").alias("component"))
-    found = stage(_group_links(group, nodes, least, EXACT_BLOCK), "all-pairs")
+    longest = nodes.agg(F.max("dim")).first()[0] or 1
+    size = max(1, min(EXACT_BLOCK, EXACT_BYTES // (8 * longest)))
+    found = stage(_group_links(group, nodes, least, size), "all-pairs")
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
     return found.groupBy("node").agg(F.sum("links").alias("links")), joined
 
@@ -289,7 +299,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     if they have as many components. Null, empty and zero vectors and those
     with null or non-finite components link with nothing. Equal vectors link,
     rows that repeat an id as well. A null id is null in ``component_id`` where
-    it stands alone. Other columns are not read.
+    it stands alone. Other columns are not read. The rules are the same for any
+    number of rows.
     """
     nodes, members = _nodes(vectors, id_col, vector)
     count = nodes.count()
@@ -307,21 +318,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
         log.warning("near_vectors: recall %s outside enlarged groups by %d linked nodes of up to %d asked, after %d further rounds", told, linked, 2 * asked, extra)
         if recall is None:
             break
-        if recall >= RECALL or extra >= EXTRA_ROUNDS and (count <= EXACT_NODES or recall <= before):
+        if recall >= RECALL or extra >= EXTRA_ROUNDS and recall <= before:
             break
         before, extra = recall, extra + 1
         more = lists.select("u", "v", "sim").union(_introductions(nodes, 1 + extra, count, least))
         lists = _descended(stage(_best(more), "neighbours"), nodes, count, 100 * extra)
-    # Without evidence all are compared; with too many for that, so many asked nodes
-    # with so few links say that at most a few in ten thousand miss one.
-    if recall is None and count > EXACT_NODES or recall is not None and recall >= RECALL:
+    # Without evidence all are compared, as they are without the recall.
+    if recall is not None and recall >= RECALL:
         # Lists that are not saturated hold all their links; the others are counted in their groups.
         both_ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         weights = nodes.select(F.col("node").alias("b"), "weight")
         listed = both_ways.join(group, both_ways["a"] == group["node"], "left_anti").join(weights, "b")
         listed = listed.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("links"))
         counted = reduce(DataFrame.unionByName, [listed, _group_counts(group, nodes, least)])
-    elif count <= EXACT_NODES:
+    elif EXACT_NODES is None or count <= EXACT_NODES:
         counted, joined = _all_pairs(nodes, least)
     else:
         raise RuntimeError(f"near_vectors: recall {told} of {RECALL} after {extra} further rounds on {count} distinct vectors")

@@ -3,6 +3,7 @@
 import logging
 
 import numpy as np
+import pytest
 
 from casework.llm import nndescent
 
@@ -62,3 +63,37 @@ def test_double_precision_vectors_are_taken(spark):
     x = sparse(n=60, pairs=5)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert linked(nndescent.near_vectors(df).collect()).keys() == expected(x).keys()
+
+
+def test_a_bound_on_the_nodes_refuses_and_gives_no_other_rows(spark, monkeypatch):
+    """By default no number of nodes decides how they are compared."""
+    assert nndescent.EXACT_NODES is None
+    x = sparse(n=600, pairs=4)
+    first = nndescent._introductions
+    monkeypatch.setattr(nndescent, "_introductions", lambda nodes, *more: first(nodes.where("least < 600 and least >= 4"), *more))
+    monkeypatch.setattr(nndescent, "_recall", lambda *a: (None, 0, 0))
+    monkeypatch.setattr(nndescent, "EXACT_BLOCK", 150)
+    monkeypatch.setattr(nndescent, "SLICE", 32)
+    assert linked(nndescent.near_vectors(frame(spark, x)).collect()) == expected(x)
+    monkeypatch.setattr(nndescent, "EXACT_NODES", 600)
+    with pytest.raises(RuntimeError, match="recall unknown"):
+        nndescent.near_vectors(frame(spark, x))
+
+
+def test_groups_are_joined_over_slices_and_blocks(spark, monkeypatch):
+    """Chains and a dense group, whose links lead over several slices and blocks."""
+    rng = np.random.default_rng(8)
+    angle = np.arange(120) * 0.2
+    chain = np.c_[np.cos(angle), np.sin(angle), np.zeros((120, 6))]
+    x = np.concatenate([chain[rng.permutation(120)], rng.standard_normal(8) + 0.02 * rng.standard_normal((90, 8))])
+    monkeypatch.setattr(nndescent, "_recall", lambda *a: (None, 0, 0))
+    monkeypatch.setattr(nndescent, "EXACT_BLOCK", 64)
+    monkeypatch.setattr(nndescent, "SLICE", 16)
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    root = np.arange(len(x))
+    while ((least := np.where(near, root, len(x)).min(1)) != root).any():
+        root = least
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_vectors(frame(spark, x)).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(x))}
